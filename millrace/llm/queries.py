@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, media, packing, pieces, urls
+from millrace.llm import langid, media, packing, pieces, pii, quality, urls
 from millrace.llm._store import shared_dir
 
 
@@ -30,6 +30,14 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
@@ -46,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op4_urls, op8_pieces, op9_langid, op10_packing)}
+    return {f.__name__: f for f in (op2_media, op4_urls, op6_quality, op7_pii, op8_pieces, op9_langid, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
