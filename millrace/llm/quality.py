@@ -25,7 +25,7 @@ SOLID = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 THRESHOLD = 0.5
 #: Weight of the first guess of the rules' rates, as a share of the documents.
-PRIOR_WEIGHT = 0.1
+PRIOR_WEIGHT = 0.2
 #: The most good documents, as a share, that a rule may be thought to vote against.
 MOST_WRONG = 0.005
 
@@ -75,22 +75,25 @@ def _vote(bad: str, good: str, names: list[str]) -> Column:
     return F.expr(f"case when {bad} then 0 when {good} then 1 end")
 
 
-#: Probabilities of a bad vote, of an abstention and of a good vote, on a bad and on a good document: the first guess.
-GUESS = ((0.35, 0.35, 0.3), (0.02, 0.28, 0.7))
+#: Probabilities of a bad vote, of an abstention and of a good vote, on a bad and on a good document: the first
+#: guess. Junk mostly fails one rule and satisfies the others; few of it satisfies the rule for prose.
+GUESS = ((0.25, 0.05, 0.70), (0.003, 0.047, 0.95))
+PROSE = ((0.01, 0.84, 0.15), (0.003, 0.047, 0.95))
 Rates = list[tuple[tuple[float, ...], tuple[float, ...]]]
 
 
 def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> tuple[float, Rates]:
     """Share of good documents, and each rule's rates of voting bad, abstaining and voting good on bad and good documents.
 
-    patterns: votes of all rules (1 good, 0 bad, None abstains) and how many documents have them.
+    patterns: votes of all rules (1 good, 0 bad, None abstains), the rule for prose last, and how many documents have them.
     """
     rules = len(patterns[0][0]) if patterns else 0
-    prior, rates = 0.85, [GUESS] * rules
+    guess = [PROSE if i == rules - 1 else GUESS for i in range(rules)]
+    prior, rates = 0.85, list(guess)
     for _ in range(rounds):
         # the guess stays as a prior in both classes, so that no single kind of junk takes the bad class for itself
         weight = 1 + PRIOR_WEIGHT * sum(n for _, n in patterns)
-        sums = [[[weight * x for x in side] for side in GUESS] for _ in range(rules)]
+        sums = [[[weight * x for x in side] for side in g] for g in guess]
         good = total = 0.0
         for votes, n in patterns:
             p = posterior(votes, prior, rates)
