@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, media, packing, pieces, pii, quality, urls
+from millrace.llm import jaccard, langid, media, packing, pieces, pii, quality, substring, urls
 from millrace.llm._store import shared_dir
 
 
@@ -21,11 +21,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(_table(spark, sf_dir, "documents"), n=4, numerator=85, denominator=100)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     return media.features(media.store(_table(spark, sf_dir, "documents"), path))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(_table(spark, sf_dir, "documents"), window=35)
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -54,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op4_urls, op6_quality, op7_pii, op8_pieces, op9_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_jaccard, op2_media, op3_substrings, op4_urls, op6_quality, op7_pii, op8_pieces, op9_langid, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
