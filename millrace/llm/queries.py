@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, langid, media, packing, pieces, pii, quality, substring, urls
+from millrace.llm import jaccard, langid, lines, media, packing, pieces, pii, quality, substring, urls
 from millrace.llm._store import shared_dir
 
 
@@ -38,6 +38,12 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return out.select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_removed").alias("n_removed"), digest.alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -62,8 +68,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op2_media, op3_substrings, op4_urls, op6_quality, op7_pii, op8_pieces, op9_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_jaccard, op2_media, op3_substrings, op4_urls, op5_lines, op6_quality, op7_pii, op8_pieces, op9_langid, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": urls.ORACLE_SQL}
+    return {"op4_urls": urls.ORACLE_SQL, "op5_lines": lines.ORACLE_SQL}
