@@ -38,6 +38,10 @@ from millrace.llm._store import discard, spill
 from millrace.llm._words import Block, blocks, mix, run_hashes
 
 LIGHT = 2
+#: 64-bit words of a set's parity bits.
+PARITY = 24
+#: How often sets that can't link are looked for.
+PEELS = 1
 _SUM = np.uint64(0x2545F4914F6CDD1D)
 #: Sets remembered by a task, so that equal sets in it give their signatures once.
 REMEMBERED = 200_000
@@ -70,6 +74,18 @@ def digests(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
 
 
+def parities(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, whether each of 64 * PARITY cells holds an odd number of elements, as bits.
+
+    Two sets differ in no fewer elements than these bits.
+    """
+    docs = len(offsets) - 1
+    cell = (mix(grams + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % (64 * PARITY)
+    counts = np.bincount(np.repeat(np.arange(docs), np.diff(offsets)) * (64 * PARITY) + cell, minlength=docs * 64 * PARITY)
+    bits = np.packbits((counts & 1).astype(np.uint8).reshape(docs, 64 * PARITY), axis=1)
+    return np.ascontiguousarray(bits).view(np.int64)
+
+
 @lru_cache(maxsize=8)
 def bands(numerator: int, denominator: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     """Last size of each band up to `largest`; the most differences of a pair whose smaller set is in the band."""
@@ -154,9 +170,9 @@ def _elements(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for start, stop, block in blocks(batch, lower=True):
                 grams, offsets = shingle_sets(block, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))], names=["digest", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.FixedSizeListArray.from_arrays(pa.array(parities(grams, offsets).ravel()), PARITY).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))], names=["digest", "parity", "elements"])
 
-    return docs.select("digest", "text").mapInArrow(run, "digest bigint, elements array<bigint>")
+    return docs.select("digest", "text").mapInArrow(run, "digest bigint, parity array<bigint>, elements array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,23 +217,51 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
     elements, element_path = spill(elements.dropDuplicates(["digest"]), "elements")
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, str]:
-        """a, b, ok of the pairs (a, b), decided on the whole sets."""
-        left = elements.select(F.col("digest").alias("a"), F.col("elements").alias("x"))
-        right = elements.select(F.col("digest").alias("b"), F.col("elements").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-        ok = denominator * F.col("common") >= numerator * (F.size("x") + F.size("y") - F.col("common"))
-        return spill(both.select("a", "b", ok.alias("ok")), "compared")
+        """a, b, ok of the pairs (a, b, n of both), decided on the whole sets.
+
+        Parity bits go first: they prove most pairs that don't link to be too different, at a tenth of the bytes.
+        """
+        at_most = F.floor((denominator - numerator) * (F.col("na") + F.col("nb")) / (denominator + numerator))
+        left, right = (elements.select(F.col("digest").alias(x), F.col("parity").alias(f"p{x}")) for x in "ab")
+        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda u, v: u + v)
+        close, close_path = spill(pairs.join(left, "a").join(right, "b").withColumn("may", apart <= at_most).select("a", "b", "may"), "close")
+        left, right = (elements.select(F.col("digest").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
+        both = close.filter("may").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ea", "eb")))
+        ok = denominator * F.col("common") >= numerator * (F.size("ea") + F.size("eb") - F.col("common"))
+        both = both.select("a", "b", ok.alias("ok")).unionByName(close.filter("not may").select("a", "b", F.lit(False).alias("ok")))
+        out = spill(both, "compared")
+        discard(spark, close_path)
+        return out
 
     sizes = classes.join(candidates, "digest").select("digest", "n")
     live, live_path = spill(buckets.distinct().join(sizes, "digest"), "live")
     discard(spark, bucket_path)
+
+    # elements that no other candidate has can't be shared: sets with too few others link to nothing and leave, which
+    # may leave others alone in turn
+    kept = live
+    for _ in range(PEELS):
+        inside = elements.join(kept.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("elements").alias("element"))
+        alone = inside.groupBy("element").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).filter("sets = 1").groupBy("digest").agg(F.count("*").alias("own"))
+        shared = kept.drop("shared", "own").join(alone, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+        able = shared.filter(denominator * F.col("shared") >= numerator * F.col("n"))
+        several = able.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
+        kept, kept_path = spill(able.join(several, "sig", "left_semi"), "live")
+        discard(spark, live_path)
+        live_path = kept_path
+    # buckets of the same sets count once
+    content = kept.groupBy("sig").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+    live, kept_path = spill(kept.drop("own").join(content.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "live")
+    discard(spark, live_path)
+    live_path = kept_path
     fits = denominator * F.least("n", "hub_n") >= numerator * F.greatest("n", "hub_n")
+    fits &= (denominator + numerator) * F.least("shared", "hub_shared") >= numerator * (F.col("n") + F.col("hub_n"))
 
     # first round: each set and the hub it shares most signatures with
     first = Window.partitionBy("sig").orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = live.select("digest", "n", F.first("digest").over(first).alias("hub"), F.first("n").over(first).alias("hub_n")).filter((F.col("hub") != F.col("digest")) & fits)
-    best = star.groupBy("digest", "hub").count().groupBy("digest").agg(F.max_by("hub", "count").alias("hub"))
-    compared, _ = linked(best.select(F.col("hub").alias("a"), F.col("digest").alias("b")))
+    star = live.select("digest", "n", "shared", F.first("digest").over(first).alias("hub"), F.first("n").over(first).alias("hub_n"), F.first("shared").over(first).alias("hub_shared")).filter((F.col("hub") != F.col("digest")) & fits)
+    best = star.groupBy("digest", "hub").agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n")).groupBy("digest").agg(F.max_by(F.struct("hub", "hub_n", "n"), "count").alias("best"))
+    compared, _ = linked(best.select(F.col("best.hub").alias("a"), F.col("digest").alias("b"), F.col("best.hub_n").alias("na"), F.col("best.n").alias("nb")))
     links = compared.filter("ok").select("a", "b")
     failed = compared.filter("not ok").select("a", "b")
     roots = components(links)
@@ -227,20 +271,20 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
         # rows of buckets that still hold several components; those taken as hubs before are gone
         several = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
         ranked = placed.join(several, "sig").withColumn("turn", F.row_number().over(Window.partitionBy("sig", "root").orderBy("digest")))
-        ranked, ranked_path = spill(ranked.select("sig", "digest", "n", "root", "turn"), "live")
+        ranked, ranked_path = spill(ranked.select("sig", "digest", "n", "shared", "root", "turn"), "live")
         discard(spark, live_path)
         if ranked.isEmpty():
             discard(spark, ranked_path)
             break
-        hubs = ranked.filter(F.col("turn") <= hubs_each).select("sig", F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+        hubs = ranked.filter(F.col("turn") <= hubs_each).select("sig", F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
         pairs = ranked.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits)
-        pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
+        pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), F.when(F.col("digest") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(F.col("digest") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
         compared, _ = linked(pairs.join(failed, ["a", "b"], "left_anti"))
         links = links.unionByName(compared.filter("ok").select("a", "b"))
         failed = failed.unionByName(compared.filter("not ok").select("a", "b"))
         if not compared.filter("ok").isEmpty():
             roots = components(links)
-        live, live_path = ranked.filter(F.col("turn") > hubs_each).select("sig", "digest", "n"), ranked_path
+        live, live_path = ranked.filter(F.col("turn") > hubs_each).select("sig", "digest", "n", "shared"), ranked_path
         hubs_each *= 4
 
     found = sets.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
