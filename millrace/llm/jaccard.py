@@ -80,6 +80,9 @@ def parities(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     Two sets differ in no fewer elements than these bits.
     """
     docs = len(offsets) - 1
+    if docs > 512:  # bounded memory for many short texts
+        cuts = range(0, docs, 512)
+        return np.concatenate([parities(grams[offsets[c] : offsets[min(docs, c + 512)]], offsets[c : min(docs, c + 512) + 1] - offsets[c]) for c in cuts])
     cell = (mix(grams + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % (64 * PARITY)
     counts = np.bincount(np.repeat(np.arange(docs), np.diff(offsets)) * (64 * PARITY) + cell, minlength=docs * 64 * PARITY)
     bits = np.packbits((counts & 1).astype(np.uint8).reshape(docs, 64 * PARITY), axis=1)
@@ -258,7 +261,7 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
     fits &= (denominator + numerator) * F.least("shared", "hub_shared") >= numerator * (F.col("n") + F.col("hub_n"))
 
     # first round: each set and the hub it shares most signatures with
-    first = Window.partitionBy("sig").orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = Window.partitionBy("sig").orderBy((F.col("shared") / F.col("n")).desc(), "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     star = live.select("digest", "n", "shared", F.first("digest").over(first).alias("hub"), F.first("n").over(first).alias("hub_n"), F.first("shared").over(first).alias("hub_shared")).filter((F.col("hub") != F.col("digest")) & fits)
     best = star.groupBy("digest", "hub").agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n")).groupBy("digest").agg(F.max_by(F.struct("hub", "hub_n", "n"), "count").alias("best"))
     compared, _ = linked(best.select(F.col("best.hub").alias("a"), F.col("digest").alias("b"), F.col("best.hub_n").alias("na"), F.col("best.n").alias("nb")))
@@ -276,14 +279,19 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
         if ranked.isEmpty():
             discard(spark, ranked_path)
             break
-        hubs = ranked.filter(F.col("turn") <= hubs_each).select("sig", F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
-        pairs = ranked.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits)
+        # a pair is taken up in the first of the buckets it still shares
+        lists = ranked.groupBy("digest").agg(F.collect_list("sig").alias("sigs"))
+        listed, listed_path = spill(ranked.join(lists, "digest"), "listed")
+        hubs = listed.filter(F.col("turn") <= hubs_each).select("sig", F.col("sigs").alias("hub_sigs"), F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
+        once = F.array_min(F.array_intersect("sigs", "hub_sigs")) == F.col("sig")
+        pairs = listed.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits & once)
         pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), F.when(F.col("digest") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(F.col("digest") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
         compared, _ = linked(pairs.join(failed, ["a", "b"], "left_anti"))
         links = links.unionByName(compared.filter("ok").select("a", "b"))
         failed = failed.unionByName(compared.filter("not ok").select("a", "b"))
         if not compared.filter("ok").isEmpty():
             roots = components(links)
+        discard(spark, listed_path)
         live, live_path = ranked.filter(F.col("turn") > hubs_each).select("sig", "digest", "n", "shared"), ranked_path
         hubs_each *= 4
 
