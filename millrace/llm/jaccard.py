@@ -3,12 +3,12 @@
 Sets of shingles are put in bands of size in which the largest is at most 1/threshold times the
 smallest, so linked sets lie in the same or in adjacent bands. Within the sizes of such a pair of
 bands, linked sets differ in at most k elements. The feature domain is cut into groups of three
-partitions by hash: with floor(k / 2) + 1 + m groups, at least m + 1 groups hold at most one
+partitions by hash: with floor(k / 2) + 1 + m + CORE groups, at least m + CORE + 1 groups hold at most one
 difference, and in each of them two of the three partitions agree. Every set gives one signature for
-each choice of two partitions of each group, so linked sets share one. Signatures of at most
+each choice of two partitions of each group, so linked sets share some. Signatures of at most
 `LIGHT` elements, which unrelated sets could share by a common phrase, are given only by sets that
-have them in more than m groups: two linked sets whose agreeing groups are all light both have so
-many, so no link is lost.
+have them in more than m groups: at most m agreeing groups of two linked sets go unseen, so they
+share more than CORE signatures and no link is lost.
 
 Sets that share a signature are candidates, and links are decided on the whole sets. Equal sets are
 one class throughout. Since components are asked for, candidates already connected are not compared
@@ -38,6 +38,8 @@ from millrace.llm._store import discard, spill
 from millrace.llm._words import Block, blocks, mix, run_hashes
 
 LIGHT = 2
+#: Groups beyond those needed to share one signature: linked sets share at least CORE + 1.
+CORE = 4
 #: 64-bit words of a set's parity bits.
 PARITY = 24
 #: How often sets that can't link are looked for.
@@ -112,7 +114,7 @@ def signatures(grams: np.ndarray, offsets: np.ndarray, numerator: int, denominat
         k = np.where((key >= 0) & (sizes > 0), most[np.maximum(key, 0)], 0)
         # where no difference is allowed, linked sets are equal and need no signature
         spare = np.where(k > 0, 1 + -(-(k // 2 + 1) // 10), 0)
-        groups = np.where(k > 0, k // 2 + 1 + spare, 0)
+        groups = np.where(k > 0, k // 2 + 1 + spare + CORE, 0)
         base = np.concatenate([[0], np.cumsum(groups)])
         if not base[-1]:
             continue
@@ -212,7 +214,13 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
     order = Window.partitionBy("sig").orderBy("digest")
     near = _signature_rows(rows, n, numerator, denominator).select("sig", "digest", F.lag("digest").over(order).alias("before"), F.lead("digest").over(order).alias("next"))
     buckets, bucket_path = spill(near.filter("before <> digest or next <> digest").select("sig", "digest"), "buckets")
-    candidates = buckets.select("digest").distinct()
+    # linked sets share more than CORE signatures: sets that share fewer with all others together leave
+    enough = buckets.distinct().groupBy("digest").count().filter(F.col("count") > CORE).select("digest")
+    core = buckets.distinct().join(enough, "digest", "left_semi")
+    several = core.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
+    core, core_path = spill(core.join(several, "sig", "left_semi"), "buckets")
+    discard(spark, bucket_path)
+    candidates = core.groupBy("digest").count().filter(F.col("count") > CORE).select("digest")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
     chosen = classes.join(candidates, "digest").select("doc_id", "digest")
     # any row of the class will do where an id is repeated with another text: the digest is computed anew and compared
@@ -237,8 +245,8 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
         return out
 
     sizes = classes.join(candidates, "digest").select("digest", "n")
-    live, live_path = spill(buckets.distinct().join(sizes, "digest"), "live")
-    discard(spark, bucket_path)
+    live, live_path = spill(core.join(sizes, "digest"), "live")
+    discard(spark, core_path)
 
     # elements that no other candidate has can't be shared: sets with too few others link to nothing and leave, which
     # may leave others alone in turn

@@ -68,9 +68,10 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, DataF
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, column: str = "text") -> DataFrame:
     """`docs` with the text without later copies, and _l_lines, _l_removed (numbers of lines with a word), _l_run (longest deleted run found by doubling)."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("_l_text", F.coalesce(F.col(column).cast("string"), F.lit(""))).withColumn("_l_key", F.xxhash64("doc_id", "_l_text"))
-    short = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_l_key").alias("key"), F.col("_l_text").alias("text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    rows = docs.select(whole.alias("_l_row"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("_l_text")).withColumn("_l_key", F.xxhash64("doc_id", "_l_text"))
+    short = rows.select("doc_id", F.col("_l_key").alias("key"), F.col("_l_text").alias("text"))
     found, places = repeated_runs(short, min_lines)
     later = found.filter("later")
     # a run of `lines` lines is covered by the runs of min_lines that it holds, all of them later copies too
@@ -80,13 +81,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, column: str = "text") -> Da
     gone = gone.join(reach, "key").withColumnRenamed("key", "_l_key")
     out = rows.join(gone, "_l_key", "left").withColumn("_l_all", F.split("_l_text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l_all") - 1), F.col("_l_gone"))
-    text = F.when(F.col("_l_gone").isNull(), F.col(column)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l_all", i)), "\n"))
+    text = F.when(F.col("_l_gone").isNull(), F.col(f"_l_row.`{column}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l_all", i)), "\n"))
     counts = [
         F.size(F.filter("_l_all", lambda x: x.rlike(SOLID))).cast("bigint").alias("_l_lines"),
         F.coalesce(F.size("_l_gone"), F.lit(0)).cast("bigint").alias("_l_removed"),
         F.coalesce("_l_run", F.lit(0)).cast("bigint").alias("_l_run"),
     ]
-    return out.select(*[text.alias(c) if c == column else col for c, col in zip(docs.columns, columns, strict=True)], *counts)
+    return out.select(*[(text if c == column else F.col(f"_l_row.`{c}`")).alias(c) for c in docs.columns], *counts)
 
 
 ORACLE_SQL = r"""

@@ -29,7 +29,7 @@ SPACE = "▁"
 #: Chunks of at most so many characters are encoded together.
 SHORT = 32
 #: Chunks remembered between batches by each Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class PieceModel:
@@ -189,9 +189,9 @@ class PieceModel:
     def encode_batch(self, texts: list[str], check: bool = True) -> list[list[int]]:
         """Ids of each text, without begin or end ids."""
         cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = list({c for row in cut for c in row if c not in self.seen})
+        fresh = list(set(chain.from_iterable(cut)).difference(self.seen))
         if len(self.seen) + len(fresh) > REMEMBERED:
-            keep = {c for row in cut for c in row}
+            keep = set(chain.from_iterable(cut))
             self.seen = {c: self.seen[c] for c in keep if c in self.seen}
         short = [c for c in fresh if len(c) <= SHORT]
         long = [c for c in fresh if len(c) > SHORT]

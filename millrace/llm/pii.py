@@ -282,7 +282,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """`docs` with every span of the text column replaced by its kind in angle brackets; overlapping spans count as one."""
-    out = with_spans(docs, column)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = with_spans(docs.select(F.struct(*columns).alias("_p_row"), F.col(column).cast("string").alias("_p_own")), "_p_own")
     order = F.sort_array(F.transform("_p_spans", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
 
     def join(acc: Column, c: Column) -> Column:
@@ -293,8 +294,8 @@ def redact(docs: DataFrame, column: str = "text") -> DataFrame:
 
     out = out.withColumn("_p_order", order)
     out = out.withColumn("_p_cuts", F.aggregate("_p_order", F.slice("_p_order", 1, 0), join))
-    cuts, text = F.col("_p_cuts"), F.col(column)
+    cuts, text = F.col("_p_cuts"), F.col("_p_own")
     lead = F.transform(cuts, lambda c, i: F.concat(F.substr(text, F.coalesce(F.get(cuts, i - 1)["e"], F.lit(0)) + 1, c["s"] - F.coalesce(F.get(cuts, i - 1)["e"], F.lit(0))), F.lit("<"), c["kind"], F.lit(">")))
     rest = F.substr(text, F.element_at(cuts, -1)["e"] + 1, F.length(text))
     changed = F.when(F.size(cuts) > 0, F.concat(F.array_join(lead, ""), rest)).otherwise(text)
-    return out.withColumn(column, changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[(changed if c == column else F.col(f"_p_row.`{c}`")).alias(c) for c in docs.columns])

@@ -6,8 +6,8 @@ estimates the rules' accuracies and the share of good documents without labels;
 probability of quality decides. A document that fails the base rule is rejected in any case.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows give
-repeated rows; on an empty table nothing is estimated and nothing returned; columns of the input
-with the names of the counts are not read by `judge` and are left as they are by `keep`.
+repeated rows; on an empty table nothing is estimated and nothing returned; `keep` passes
+all columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 2
 
     patterns: votes of all rules (1 good, 0 bad, None abstains), the rule for prose last, and how many documents have them.
     """
-    rules = len(patterns[0][0]) if patterns else 0
+    rules = len(patterns[0][0]) if patterns else len(RULES)
     guess = [PROSE if i == rules - 1 else GUESS for i in range(rules)]
     prior, rates = 0.85, list(guess)
     for _ in range(rounds):
@@ -160,5 +160,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not rejected, with their own columns only."""
-    return scored(docs).filter("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that are not rejected, as they are."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return scored(packed).filter("_q_kept").select("row.*")

@@ -180,6 +180,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, run: int = RUN, bits: in
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    if bits < SHARDS.bit_length() + 2:
+        raise ValueError("a shard of the sketch holds whole bytes")
     if not 0 <= window - run < 63:
         raise ValueError("a window is as long as a run or up to 62 words longer")
     repeated = repeated_windows(rows.select("key", "text"), window, run, bits)

@@ -1,0 +1,291 @@
+"""Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from oracle import same
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from millrace.llm import jaccard, langid, lines, media, packing, pieces, pii, quality, substring, urls  # noqa: E402
+from millrace.llm.queries import oracle_sql, queries  # noqa: E402
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, _q_n int, key string, part int"
+
+
+def texts():
+    r = random.Random(7)
+    vocab = ["".join(r.choice("abcdeéßñ") for _ in range(r.randint(1, 6))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    base, passage = prose(160), prose(50)
+    near = base.split()
+    near[80] = "edited"
+    far = [w if i % 9 else "x%d" % i for i, w in enumerate(base.split())]
+    out = [None, "", " \n\t", "one", "One two THREE", "one two three", base, base, " ".join(near), " ".join(far), base.upper()]
+    out += [prose(30) + "\n" + passage + "\n" + prose(20), passage + " " + prose(10), prose(5) + "\n" + passage]
+    out += ["a b\nc d\ne f\na b\nc d", "a b\nc d\nother", "x y\n\nx y", "mail me: a.b@c.de or +1 (212) 555-0100, 10.0.0.1 and 999.1.1.1", "4111 1111 1111 1111 \u0001 é 4111 1111 1111 1112", 'token = "0123456789abcdef0123"']
+    out += [prose(6000), "z" * 5000, "!!! " * 200, "😀 日本語 \u2581 x\r\n"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", len(t or ""), 1, "k", 2) for i, t in enumerate(texts())]
+    rows.append(rows[6])  # a repeated row
+    rows.append((None, "no id here " * 5, None, None, None, None, None, None))
+    return spark.createDataFrame(rows, DOC).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def data(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_jaccard(docs, empty):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = data(docs)
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(t.translate(low))
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want = []
+    for i, (k, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[i] and rows[j][0] is not None]
+        want.append((k, len(sets[i]), min(ids, default=None) if sets[i] else k))
+    got = [tuple(r) for r in jaccard.join_components(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert jaccard.join_components(empty).count() == 0
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id in (6, 7)").select("doc_id").distinct().count() == 1
+
+
+def test_signatures_are_shared():
+    r = np.random.default_rng(3)
+    for n in (6, 13, 40, 200, 900):
+        for _ in range(20):
+            common = r.integers(0, 1 << 62, n, dtype=np.uint64)
+            d = (15 * n) // 100 // 2
+            a, b = np.unique(common[d:]), np.unique(common[: n - d] if d else common)
+            if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)) or np.array_equal(a, b):
+                continue
+            sig, of = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85, 100)
+            assert len(set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())) > jaccard.CORE
+
+
+def test_media(docs, empty, tmp_path):
+    stored = media.store(docs, str(tmp_path / "media"))
+    for r in media.features(stored).collect():
+        pass
+    got = {(r.doc_id, r.payload_sha256): r for r in media.features(stored).collect()}
+    for k, t in data(docs):
+        raw = t.encode()
+        p = media.pad(raw)
+        r = got[k, hashlib.sha256(p).hexdigest()]
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(p), zlib.crc32(p[-64:])) and len(p) % 64 == 0 and p
+    same_text = [r.feature for r in got.values() if r.doc_id in (6, 7)]
+    assert len(set(same_text)) == 1
+    assert media.features(media.store(empty, str(tmp_path / "none"))).count() == 0
+    t = media.tensor_rows(stored).toArrow()
+    assert media.as_tensors(t["tensor"]).type.shape == [32, 16] and min(t["end_s"].to_pylist()) > 0
+
+
+def test_resample_keeps_a_tone():
+    x = np.round(100 * np.sin(2 * np.pi * 200 * np.arange(8000) / 8000))
+    y = media.resample(x, 3, 4, 8)
+    want = 100 * np.sin(2 * np.pi * 200 * np.arange(6000) / 6000)
+    assert len(y) == 6000 and np.abs(y - want)[100:-100].max() < 4
+
+
+def test_substrings(docs, empty):
+    rows = data(docs)
+    count = {}
+    words = [WORD.findall(t) for _, t in rows]
+    for w in words:
+        for i in range(len(w) - 34):
+            count[tuple(w[i : i + 35])] = count.get(tuple(w[i : i + 35]), 0) + 1
+    want = []
+    for (k, _), w in zip(rows, words, strict=True):
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want.append((k, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
+    for bits in (10, 20):  # a full sketch loses nothing either
+        assert sorted(map(tuple, substring.dedup_substrings(docs, bits=bits).collect()), key=repr) == sorted(want, key=repr)
+    assert substring.dedup_substrings(empty, bits=10).count() == 0
+
+
+def test_urls(spark):
+    pages = [None, "no scheme", "http://a.com", "http://A.COM/", "https://www.Example.com/en/x?q", "http://example.com/en/", "http://x.net/es/1", "http://net/fr/", "http://badnet/fr/", "a://b://c/d", "http:///p", "http://x.net/es#f", "http://com/#"]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(pages)] + [(2, pages[2], "h")], "page_id bigint, url string, host string")
+    want = []
+    for i, u in [*enumerate(pages), (2, pages[2])]:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.lower()
+        fits = [(len(h + p), len(h), v, h + p) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, "allow", None))
+        want.append((i, host, path, best[3], best[2]))
+    assert sorted(map(tuple, urls.filter_urls(df).collect()), key=repr) == sorted(want, key=repr)
+    assert urls.filter_urls(df.limit(0)).count() == 0
+
+
+def test_lines(docs, empty):
+    rows = sorted({(k, t) for k, t in data(docs) if k is not None})
+    seq = {k: [(i, x) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for k, t in rows}
+    for m in (1, 2, 3):
+        seen, gone = set(), {k: set() for k in seq}
+        for k, _ in rows:
+            s = seq[k]
+            for p in range(len(s) - m + 1):
+                run = tuple(x for _, x in s[p : p + m])
+                if run in seen:
+                    gone[k] |= {i for i, _ in s[p : p + m]}
+                seen.add(run)
+        got = {r.doc_id: r.text or "" for r in lines.dedup_lines(docs.filter("doc_id is not null"), m).collect()}
+        assert got == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in rows}
+    assert lines.dedup_lines(empty).count() == 0
+
+
+def test_quality(docs, empty):
+    for r in quality.judge(docs).collect():
+        pass
+    got = sorted((tuple(r)[:7] for r in quality.judge(docs).collect()), key=repr)
+    want = []
+    for k, t in data(docs):
+        w = WORD.findall(t)
+        g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = {x: g.count(x) for x in set(g)} if len(g) < 2000 else {}
+        if not n:
+            for x in g:
+                n[x] = n.get(x, 0) + 1
+        rep = len({j for i, x in enumerate(g) if n[x] > 1 for j in (i, i + 1, i + 2)})
+        full = [x for x in t.split("\n") if WORD.search(x)]
+        want.append((k, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(full) - len(set(full)), rep, len(w) < 50 or 100 * rep > 50 * len(w)))
+    assert got == sorted(want, key=repr)
+    assert quality.judge(empty).count() == 0 and quality.keep(docs).columns == docs.columns
+    assert {tuple(r) for r in quality.keep(docs).collect()} <= {tuple(r) for r in docs.collect()}
+
+
+def test_estimation_finds_junk():
+    good, junk = (1,) * 8, (1, 1, 0, 1, 1, 1, 1, None)
+    prior, rates = quality.estimate([(good, 900), (junk, 60), ((1, 1, 1, None, 1, 1, 1, 1), 40)])
+    assert quality.posterior(good, prior, rates) > 0.9 and quality.posterior(junk, prior, rates) < 0.5
+
+
+def test_pii(docs, empty):
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def ok(kind, x):
+        d = [int(c) for c in x if c.isdigit()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            return 16 <= len(d) <= 19 and sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(d[::-1])) % 10 == 0
+        return kind == "email" or 8 <= len(d) <= 15
+
+    odd = ["a@b.com_x@c.org d@e", "1.2.3.4.5.6.7.8 000255.1.1.1 256.1.1.1", "+1234567 +12345678 +1 2 3 4 5 6 7 8)", "1 2 3 4 5 6 7 8 9 0 " * 2000, "a." * 3000 + "@x.y", "+" * 50 + "1-2-3-4-5-6-7-8"]
+    df = docs.sparkSession.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string").unionByName(docs.select("doc_id", "text"))
+    got = {(r.doc_id, r.base_sha256): r for r in pii.find(df).collect()}
+    for k, t in data(df):
+        spans = [f"{kind}:{m.start()}:{m.end()}" for kind, p in plain.items() for m in re.finditer(p, t) if ok(kind, m[0])]
+        r = got[k, sha(",".join(spans))]
+        assert r.spans.startswith(",".join(spans)) and r.n_email == sum(s.startswith("email") for s in spans)
+    assert pii.find(empty).count() == 0
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[17] == "mail me: <email> or <phone>, <ip> and 999.1.1.1" and clean[19] == "<secret>" and clean[0] is None
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_boosting_separates_held_out_examples():
+    trees, thresholds = pii.boosted()
+    held = pii.examples(400, 9)
+    hits = [(sum(pii._walk(t, f) for t in trees) >= thresholds[pii.MORE[int(f[-1])]], y) for f, y in held]
+    assert sum(h and not y for h, y in hits) <= 8 and sum(h and y for h, y in hits) >= 0.9 * sum(y for _, y in hits)
+
+
+def test_pieces(docs, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = []
+    for k, t in data(docs):
+        ids = sp.encode(t)
+        want.append((k, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))))
+    got = pieces.encode_texts(docs, path, with_ids=False)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert pieces.encode_texts(empty, path).count() == 0
+    m, r = pieces.piece_model(path), random.Random(1)
+    for _ in range(300):
+        ids = [r.choice([r.randrange(3, 259), r.randrange(0, 32000)]) for _ in range(8)]
+        ids = [i for i in ids if i not in (0, 1, 2)]
+        assert m.decode(ids) == sp.decode(ids)
+
+
+def test_langid(spark, empty):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(df)
+    out = langid.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in out)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 ..")], "doc_id bigint, text string")
+    assert {r.lang_pred for r in langid.predict(odd, model).collect()} == {"und"}
+    assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
+
+
+def test_code_lengths_by_hand():
+    m = langid.learn({"a": [b"abab abab"], "b": [b"cdcd cdcd"]})
+    joined = b"abab"
+    whole = langid.code_lengths(m, np.frombuffer(joined + b"cd", dtype=np.uint8), np.array([0, 4, 4, 6]))
+    alone = langid.code_lengths(m, np.frombuffer(joined, dtype=np.uint8), np.array([0, 4]))
+    assert whole[0].tolist() == alone[0].tolist() and whole[1].tolist() == [0, 0]
+    assert whole[0, 0] < whole[0, 1] and whole[2, 0] > whole[2, 1]
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = packing.pack(docs, path, 64, 0).collect()
+    ids = {}
+    for k, x in data(docs):
+        ids.setdefault(k, []).append(t.encode(x, add_special_tokens=False).ids + [0])
+    place = 0
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert 64 * r.sequence_id + r.offset == place and r.offset + r.length <= 64
+        place += r.length
+        assert any(len(x) == r.doc_tokens and zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in ids[r.doc_id])
+    assert place == sum(len(x) for v in ids.values() for x in v)
+    assert packing.pack(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_as_sql(spark, name):
+    same(spark, name, queries()[name], oracle_sql()[name])
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = pipeline.quality_rules(spark, docs, "")
+    assert first.columns == docs.columns and 0 < first.count() < docs.count()
+    out = pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and [n for n, _ in pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "personal_data", "packing"]
