@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from millrace.errors import MillraceError
@@ -61,8 +62,9 @@ def parse(spark: SparkSession, sql: str) -> tuple[str, JavaObject]:
     text = to_spark(text.rstrip().removesuffix(";"))
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    except Py4JJavaError as e:
-        raise MillraceError("validate_sql", "parse_error", str(e.java_exception.getMessage()).split("\n")[0]) from None
+    except (PySparkException, Py4JJavaError) as e:
+        said = next((x for x in str(e).split("\n") if x.strip()), "")
+        raise MillraceError("validate_sql", "parse_error", said) from None
     classes = []
     for name in _REFUSED:
         try:
@@ -94,6 +96,6 @@ def lineage(spark: SparkSession, plan: JavaObject) -> Lineage:
             elif parts[0].lower() not in local:
                 out.tables.append(parts[0].lower())
         out.tables, out.unknown = sorted(set(out.tables)), sorted(set(out.unknown))
-    except Py4JJavaError as e:  # lineage advises; it never fails a query
-        out.incomplete = str(e.java_exception.getClass().getSimpleName())
+    except (PySparkException, Py4JJavaError) as e:  # lineage advises; it never fails a query
+        out.incomplete = type(e).__name__
     return out

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,8 +58,8 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     try:
         return [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
-    except Py4JJavaError as e:
-        raise MillraceError("load_source", "no_log", f"no transaction log at {path}: {e.java_exception.getClass().getSimpleName()}") from None
+    except (PySparkException, Py4JJavaError):
+        raise MillraceError("load_source", "no_log", f"no transaction log at {path}") from None
 
 
 def check_protocol(reader_version: int, features: list[str]) -> None:
