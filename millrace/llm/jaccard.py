@@ -42,6 +42,8 @@ LIGHT = 2
 CORE = 4
 #: 64-bit words of a set's parity bits.
 PARITY = 24
+#: Buckets that a set's rows list.
+LISTED = 32
 #: How often sets that can't link are looked for.
 PEELS = 1
 _SUM = np.uint64(0x2545F4914F6CDD1D)
@@ -287,11 +289,11 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
         if ranked.isEmpty():
             discard(spark, ranked_path)
             break
-        # a pair is taken up in the first of the buckets it still shares
-        lists = ranked.groupBy("digest").agg(F.collect_list("sig").alias("sigs"))
+        # a pair is taken up in the first of the buckets it still shares, if that is among the first LISTED of both, else in all
+        lists = ranked.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("sigs"))
         listed, listed_path = spill(ranked.join(lists, "digest"), "listed")
         hubs = listed.filter(F.col("turn") <= hubs_each).select("sig", F.col("sigs").alias("hub_sigs"), F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
-        once = F.array_min(F.array_intersect("sigs", "hub_sigs")) == F.col("sig")
+        once = F.coalesce(F.array_min(F.array_intersect("sigs", "hub_sigs")) == F.col("sig"), F.lit(True))
         pairs = listed.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits & once)
         pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), F.when(F.col("digest") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(F.col("digest") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
         compared, _ = linked(pairs.join(failed, ["a", "b"], "left_anti"))
