@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def spill(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+#: Tables written within tracked(), for release().
+_written: list[str] = []
+_tracking = False
+
+
+@contextmanager
+def tracked() -> Iterator[None]:
+    """Tables that spill() writes inside are remembered."""
+    global _tracking
+    was, _tracking = _tracking, True
+    try:
+        yield
+    finally:
+        _tracking = was
+
+
+def spill(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder; the table read back, and its path.
 
     A written table cuts the lineage: a lost executor costs no recomputation of what precedes it.
@@ -26,6 +45,8 @@ def spill(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFram
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    if _tracking and not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -35,3 +56,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the remembered tables. Only for when every result built on them is written."""
+    discard(spark, *_written)
+    _written.clear()
+    clean_shuffles(spark)
+
+
+def clean_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps, which wait for the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()

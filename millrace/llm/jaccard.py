@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm._store import discard, spill
+from millrace.llm._store import clean_shuffles, discard, spill
 from millrace.llm._words import Block, blocks, mix, run_hashes
 
 LIGHT = 2
@@ -216,6 +216,7 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
     order = Window.partitionBy("sig").orderBy("digest")
     near = _signature_rows(rows, n, numerator, denominator).select("sig", "digest", F.lag("digest").over(order).alias("before"), F.lead("digest").over(order).alias("next"))
     buckets, bucket_path = spill(near.filter("before <> digest or next <> digest").select("sig", "digest"), "buckets")
+    clean_shuffles(spark)
     # linked sets share more than CORE signatures: sets that share fewer with all others together leave
     enough = buckets.distinct().groupBy("digest").count().filter(F.col("count") > CORE).select("digest")
     core = buckets.distinct().join(enough, "digest", "left_semi")
@@ -227,7 +228,8 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
     chosen = classes.join(candidates, "digest").select("doc_id", "digest")
     # any row of the class will do where an id is repeated with another text: the digest is computed anew and compared
     elements = _elements(rows.join(chosen, "doc_id").select("digest", "text"), n)
-    elements, element_path = spill(elements.dropDuplicates(["digest"]), "elements")
+    elements, _ = spill(elements.dropDuplicates(["digest"]), "elements")
+    clean_shuffles(spark)
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, str]:
         """a, b, ok of the pairs (a, b, n of both), decided on the whole sets.
