@@ -6,12 +6,30 @@ read again as the next stage's input. All but the last keep the columns of the d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, lines, packing, pii, quality
-from millrace.llm._store import spill
+from millrace.llm._store import release, spill, tracked
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _follows(stage: Stage) -> Stage:
+    """A stage after the first: the one before is written by now, and the tables it was made from go."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        with tracked():
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,9 +39,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules reject go."""
-    return quality.keep(docs)
+    with tracked():
+        return quality.keep(docs)
 
 
+@_follows
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go, and documents of which no line is left."""
     out = lines.dedup_lines(docs)
@@ -31,11 +51,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(out.filter(some).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
+@_follows
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
     return jaccard.one_of_each(docs, n=5, numerator=80, denominator=100)
 
 
+@_follows
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
     return _counted(pii.redact(docs))
@@ -43,6 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 tokens."""
+    release(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024, end_id=0)
 
 
@@ -62,5 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the whole of `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs, _ = spill(stage(spark, docs, sf_dir), name)
+        docs, _ = spill(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
