@@ -21,6 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and Python while a table is written: both sides hold a few of them a task.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most about BATCH_BYTES in what is planned and run inside; the session's setting returns after."""
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)
+
+
 #: Tables written within tracked(), for release().
 _written: list[str] = []
 _tracking = False
@@ -44,7 +60,8 @@ def spill(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fals
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     if _tracking and not keep:
         _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
