@@ -23,18 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of an Arrow batch between the JVM and Python while a table is written: both sides hold a few of them a task.
 BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Settings while a table is written. Nothing reads a write's shuffle files once it has ended, so they go at once.
+_WRITING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most about BATCH_BYTES in what is planned and run inside; the session's setting returns after."""
-    was = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of _WRITING for what is planned and run inside; the session's own return after."""
+    was = {k: spark.conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
 #: Tables written within tracked(), for release().
@@ -60,7 +66,7 @@ def spill(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fals
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with writing(spark):
         df.write.option("compression", compression).parquet(path)
     if _tracking and not keep:
         _written.append(path)
