@@ -44,8 +44,6 @@ CORE = 4
 PARITY = 24
 #: Buckets that a set's rows list.
 LISTED = 32
-#: How often sets that can't link are looked for.
-PEELS = 1
 _SUM = np.uint64(0x2545F4914F6CDD1D)
 #: Sets remembered by a task, so that equal sets in it give their signatures once.
 REMEMBERED = 200_000
@@ -228,7 +226,7 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
     chosen = classes.join(candidates, "digest").select("doc_id", "digest")
     # any row of the class will do where an id is repeated with another text: the digest is computed anew and compared
     elements = _elements(rows.join(chosen, "doc_id").select("digest", "text"), n)
-    elements, _ = spill(elements.dropDuplicates(["digest"]), "elements")
+    elements, elements_path = spill(elements.dropDuplicates(["digest"]), "elements")
     clean_shuffles(spark)
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, str]:
@@ -252,21 +250,20 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
     live, live_path = spill(core.join(sizes, "digest"), "live")
     discard(spark, core_path)
 
-    # elements that no other candidate has can't be shared: sets with too few others link to nothing and leave, which
-    # may leave others alone in turn
-    kept = live
-    for _ in range(PEELS):
-        inside = elements.join(kept.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("elements").alias("element"))
-        alone = inside.groupBy("element").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).filter("sets = 1").groupBy("digest").agg(F.count("*").alias("own"))
-        shared = kept.drop("shared", "own").join(alone, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-        able = shared.filter(denominator * F.col("shared") >= numerator * F.col("n"))
-        several = able.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
-        kept, kept_path = spill(able.join(several, "sig", "left_semi"), "live")
-        discard(spark, live_path)
-        live_path = kept_path
+    # elements that no other candidate has can't be shared: sets with too few others link to nothing and leave
+    inside = elements.select("digest", F.explode("elements").alias("element"))
+    alone = inside.groupBy("element").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).filter("sets = 1").groupBy("digest").agg(F.count("*").alias("own"))
+    shared = live.join(alone, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    able = shared.filter(denominator * F.col("shared") >= numerator * F.col("n"))
+    several = able.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
+    kept, kept_path = spill(able.join(several, "sig", "left_semi"), "live")
+    discard(spark, live_path)
+    live_path = kept_path
+    elements, _ = spill(elements.join(kept.select("digest").distinct(), "digest", "left_semi"), "elements")
+    discard(spark, elements_path)
     # buckets of the same sets count once
     content = kept.groupBy("sig").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
-    live, kept_path = spill(kept.drop("own").join(content.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "live")
+    live, kept_path = spill(kept.join(content.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "live")
     discard(spark, live_path)
     live_path = kept_path
     fits = denominator * F.least("n", "hub_n") >= numerator * F.greatest("n", "hub_n")
