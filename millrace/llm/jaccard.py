@@ -11,12 +11,17 @@ have them in more than m groups: at most m agreeing groups of two linked sets go
 share more than CORE signatures and no link is lost.
 
 Sets that share a signature are candidates, and links are decided on the whole sets. Equal sets are
-one class throughout. Since components are asked for, candidates already connected are not compared
+one class throughout. Components come first, and for them candidates already connected are not compared
 again: first each set is compared with the most frequent first set of its buckets; then, round by
 round, in each bucket that still holds several components, a few sets of each component (four times
 as many every round) are compared with the rest and leave the bucket, until none is left. Work
 beyond the first round is spent on unconnected candidates only, and no bucket is capped.
 
+`join_links` then decides every pair of sets of a component, once: links never leave a component, so
+this is every candidate pair that can link. The sets of a large component are dealt into chunks, and
+every pair of chunks is compared for itself. Links are counted where they are found; the pairs, whose number
+grows with the square of a group, are made only when they are read.
+
 Defined results: null, empty and wordless texts have empty sets and are components of their own;
 a text of fewer words than a shingle is one element; repeated rows give repeated rows; a null id
 never becomes a component's id unless all its ids are null; an empty table gives no rows; other
@@ -47,6 +52,10 @@ LISTED = 32
 _SUM = np.uint64(0x2545F4914F6CDD1D)
 #: Sets remembered by a task, so that equal sets in it give their signatures once.
 REMEMBERED = 200_000
+#: Sets, and elements, of a chunk of a component on average at most.
+CHUNK, CHUNK_ELEMENTS = 256, 500_000
+#: Elements by which two chunks are compared at once.
+COLUMNS = 4096
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,11 +209,128 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominator: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text).
+def intersections(elements: np.ndarray, offsets: np.ndarray, split: int) -> np.ndarray:
+    """Number of common elements of each set before `split` with each set from it on; of all with all where none are."""
+    sets = len(offsets) - 1
+    values, place, counts = np.unique(elements, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(sets), np.diff(offsets))
+    several = counts[place] > 1
+    owner, column = owner[several], (np.cumsum(counts > 1) - 1)[place[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left, right = (slice(0, split), slice(split, sets)) if split < sets else (slice(0, sets), slice(0, sets))
+    out = np.zeros((left.stop, right.stop - right.start), dtype=np.int64)
+    for at in range(0, int((counts > 1).sum()), COLUMNS):
+        some = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        has = np.zeros((sets, int(column[some][-1]) - at + 1), dtype=np.float32)  # sums of up to COLUMNS ones are exact
+        has[owner[some], column[some] - at] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _decided(members: DataFrame, elements: DataFrame, numerator: int, denominator: int, pairs: bool) -> DataFrame:
+    """All links between the sets of each component, as pairs (a, b) or as digest, links (to be added up; weighted by copies).
+
+    `members` has root, digest, n and copies.
+    """
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks")).filter("chunks > 1")
+    placed = members.join(F.broadcast(sizes), "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")).join(elements.select("digest", "elements"), "digest")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    block = ["root", "low", "high"]
+    dealt = dealt.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest", "copies", "elements")
+    dealt = dealt.repartition(*block).sortWithinPartitions(*block, "side")
+
+    def compared(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        side, digest, copies = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("side", "digest", "copies"))
+        sets = [p.column("elements") for p in parts]
+        lengths = np.concatenate([x.value_lengths().to_numpy() for x in sets]).astype(np.int64)
+        split = int(np.searchsorted(side, 1))
+        same = parts[0].column("low")[0].as_py() == parts[0].column("high")[0].as_py()
+        if not same and split in (0, len(side)):  # one of the chunks has no set
+            return digest[:0], digest[:0]
+        common = intersections(np.concatenate([x.flatten().to_numpy() for x in sets]), np.concatenate([[0], np.cumsum(lengths)]), split)
+        one, two = (slice(None), slice(None)) if same else (slice(0, split), slice(split, None))
+        ok = denominator * common >= numerator * (lengths[one][:, None] + lengths[two][None, :] - common)
+        if same:
+            np.fill_diagonal(ok, False)
+        if pairs:
+            x, y = np.nonzero(np.triu(ok) if same else ok)
+            return np.minimum(digest[one][x], digest[two][y]), np.maximum(digest[one][x], digest[two][y])
+        links = ok @ copies[two]
+        return (digest, links) if same else (digest, np.concatenate([links, copies[one] @ ok]))
+
+    names = ["a", "b"] if pairs else ["digest", "links"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key, out, size = None, [], 0
+
+        def written() -> Iterator[pa.RecordBatch]:
+            a, b = (np.concatenate([x[i] for x in out]) for i in (0, 1))
+            for at in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=names)
 
-    Two texts link when denominator * intersection >= numerator * union of their sets of n-word shingles.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in block])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                new = tuple(keys[:, start].tolist())
+                if held and new != key:
+                    out.append(compared(held))
+                    held, size = [], size + len(out[-1][0])
+                    if size > 100_000:
+                        yield from written()
+                        out, size = [], 0
+                key = new
+                held.append(batch.slice(start, stop - start))
+        if held:
+            out.append(compared(held))
+        if out:
+            yield from written()
+
+    return dealt.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def join_links(docs: DataFrame, n: int = 4, numerator: int = 85, denominator: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links between the rows of `docs` (doc_id, text), in three tables.
+
+    doc_id, n_shingles, component_id and n_links (the number of other rows with which the row links, rows of equal
+    sets among them) of every row; the linked pairs (a, b) of different classes of equal sets, each once with a < b;
+    and the rows of each class (digest, doc_id). Two texts link when denominator * intersection >= numerator * union
+    of their sets of n-word shingles.
     """
+    sets, elements, roots = _connected(docs, n, numerator, denominator)
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "digest")
+    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.count("*").alias("copies"))
+    members, _ = spill(whole.join(classes, "digest"), "members")
+    none = F.lit(None).cast("bigint").alias("root")
+    marks = _decided(members, elements, numerator, denominator, pairs=False).select("digest", none, "links")
+    marks = marks.unionByName(members.select("digest", "root", F.lit(0).cast("bigint").alias("links")))
+    marks = marks.unionByName(classes.filter("copies > 1").select("digest", none, (F.col("copies") - 1).alias("links")))
+    marks, _ = spill(marks.groupBy("digest").agg(F.max("root").alias("root"), F.sum("links").alias("links")), "marks")
+    placed = _components_of(sets, marks)
+    placed = placed.select("doc_id", "n_shingles", "component_id", F.when(F.col("n_shingles") > 0, F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"))
+    return placed, _decided(members, elements, numerator, denominator, pairs=True), sets.filter("n > 0").select("digest", "doc_id")
+
+
+def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominator: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text), as in `join_links`, without deciding all links."""
+    sets, _, roots = _connected(docs, n, numerator, denominator)
+    return _components_of(sets, roots.withColumnRenamed("node", "digest")).select("doc_id", "n_shingles", "component_id")
+
+
+def _components_of(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with n_shingles, root and component_id; `roots` has digest and root of sets that have one."""
+    found = sets.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = found.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).withColumnRenamed("n", "n_shingles")
+
+
+def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows; the elements of the candidates; node, root of the sets that are linked."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
@@ -304,10 +430,7 @@ def join_components(docs: DataFrame, n: int = 4, numerator: int = 85, denominato
         live, live_path = ranked.filter(F.col("turn") > hubs_each).select("sig", "digest", "n", "shared"), ranked_path
         hubs_each *= 4
 
-    found = sets.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = found.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = found.join(least, "root", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sets, elements, roots
 
 
 def one_of_each(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:

@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_components(_table(spark, sf_dir, "documents"), n=4, numerator=85, denominator=100)
+    return jaccard.join_links(_table(spark, sf_dir, "documents"), n=4, numerator=85, denominator=100)[0]
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,31 @@ def test_jaccard(docs, empty):
     assert kept.columns == docs.columns and kept.filter("doc_id in (6, 7)").select("doc_id").distinct().count() == 1
 
 
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """A group of more than two different near copies: each pair links or doesn't by itself, connected or not."""
+    monkeypatch.setattr(jaccard, "CHUNK", 4)  # pairs within and between chunks
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join("e%d" % i if w in (7 * i % 120, 3 * i % 120) else x for w, x in enumerate(base))) for i in range(14)]
+    rows += [(20 + i, " ".join([*base[5 * i :], *(f"t{x}" for x in range(5 * i))])) for i in range(9)]  # a chain
+    rows += [(40, rows[3][1]), (41, rows[3][1]), (42, "other words than all the rest of these"), (43, ""), (44, None), (45, "two words"), (46, "two words")]
+    sets = {k: frozenset(zip(*(t.split()[i:] for i in range(4)))) or frozenset([t]) if t else frozenset() for k, t in rows}
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 85 * len(a | b)
+    want = {k: sum(near(sets[k], sets[j]) for j in sets if j != k) for k in sets}
+    docs, pairs, members = jaccard.join_links(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert {x.doc_id: x.n_links for x in docs.collect()} == want
+    of = {}
+    for x in members.collect():
+        of.setdefault(x.digest, []).append(x.doc_id)
+    got = [tuple(x) for x in pairs.collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    classes = {sets[k] for k in sets if sets[k]}
+    assert {frozenset([sets[of[a][0]], sets[of[b][0]]]) for a, b in got} == {frozenset([a, b]) for a in classes for b in classes if a != b and near(a, b)}
+    assert len(got) > len(classes) and sorted(sum(of.values(), [])) == sorted(k for k in sets if sets[k])
+    assert jaccard.join_links(spark.createDataFrame([], "doc_id bigint, text string"))[0].count() == 0
+
+
 def test_signatures_are_shared():
     r = np.random.default_rng(3)
     for n in (6, 13, 40, 200, 900):
