@@ -24,7 +24,7 @@ grows with the square of a group, are made only when they are read.
 
 Defined results: null, empty and wordless texts have empty sets and are components of their own;
 a text of fewer words than a shingle is one element; repeated rows give repeated rows; a null id
-never becomes a component's id unless all its ids are null; an empty table gives no rows; other
+never becomes a component's id unless all its ids are null (such components are told apart all the same); an empty table gives no rows; other
 columns are not read. Elements are compared by 64-bit hashes, sets by 64-bit sums of them.
 """
 
@@ -35,7 +35,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -149,14 +150,19 @@ def signatures(grams: np.ndarray, offsets: np.ndarray, numerator: int, denominat
     return np.concatenate(out), np.concatenate(of)
 
 
+def _key(doc_id: str | Column, text: str | Column) -> Column:
+    """One number for an id, null or not, and a text."""
+    return F.xxhash64(doc_id, text)
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, block in blocks(batch, lower=True):
                 grams, offsets = shingle_sets(block, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(np.diff(offsets), pa.int64()), pa.array(digests(grams, offsets).view(np.int64))], names=["doc_id", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, stop - start) for c in (0, 1)), pa.array(np.diff(offsets), pa.int64()), pa.array(digests(grams, offsets).view(np.int64))], names=["doc_id", "key", "n", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, digest bigint")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, n bigint, digest bigint")
 
 
 def _signature_rows(docs: DataFrame, n: int, numerator: int, denominator: int) -> DataFrame:
@@ -180,11 +186,13 @@ def _signature_rows(docs: DataFrame, n: int, numerator: int, denominator: int) -
 
 
 def _elements(docs: DataFrame, n: int) -> DataFrame:
+    """Parity bits and elements of the texts whose digest, computed anew, is the given one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, block in blocks(batch, lower=True):
                 grams, offsets = shingle_sets(block, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.FixedSizeListArray.from_arrays(pa.array(parities(grams, offsets).ravel()), PARITY).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))], names=["digest", "parity", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.FixedSizeListArray.from_arrays(pa.array(parities(grams, offsets).ravel()), PARITY).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))], names=["digest", "parity", "elements"]).filter(pc.equal(batch.column(0).slice(start, stop - start), pa.array(digests(grams, offsets).view(np.int64))))
 
     return docs.select("digest", "text").mapInArrow(run, "digest bigint, parity array<bigint>, elements array<bigint>")
 
@@ -333,7 +341,7 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     """The sets of all rows; the elements of the candidates; node, root of the sets that are linked."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("key", _key("doc_id", "text"))
     sets, _ = spill(_sets(rows, n), "sets")
 
     # buckets of two or more different sets, sorted by signature and set
@@ -348,10 +356,10 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     core, core_path = spill(core.join(several, "sig", "left_semi"), "buckets")
     discard(spark, bucket_path)
     candidates = core.groupBy("digest").count().filter(F.col("count") > CORE).select("digest")
-    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    chosen = classes.join(candidates, "digest").select("doc_id", "digest")
-    # any row of the class will do where an id is repeated with another text: the digest is computed anew and compared
-    elements = _elements(rows.join(chosen, "doc_id").select("digest", "text"), n)
+    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("key").alias("key"))
+    chosen = classes.join(candidates, "digest").select("key", "digest")
+    # ids may be null, or repeated with another text: rows are found by id and text, and their digest is computed anew and compared
+    elements = _elements(rows.join(chosen, "key").select("digest", "text"), n)
     elements, elements_path = spill(elements.dropDuplicates(["digest"]), "elements")
     clean_shuffles(spark)
 
@@ -434,6 +442,18 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
 
 
 def one_of_each(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; columns as they are."""
-    kept = join_components(docs, n, numerator, denominator).filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of `docs` of each component, that of the smallest id (null last) and key of id and text; columns as they are.
+
+    Rows without a word are components of their own and stay.
+    """
+    sets, _, roots = _connected(docs, n, numerator, denominator)
+    found = _components_of(sets, roots.withColumnRenamed("node", "digest"))
+    first = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    kept = first.select(F.col("first.key").alias("_j_key")).withColumn("_j_worded", F.lit(True)).unionByName(found.filter("n_shingles = 0").select(F.col("key").alias("_j_key")).distinct().withColumn("_j_worded", F.lit(False)))
+    again = sets.filter("n > 0").groupBy("key").count().filter("count > 1").select(F.col("key").alias("_j_key"), F.lit(True).alias("_j_again"))
+    kept, _ = spill(kept.join(again, "_j_key", "left"), "kept")
+    rows = docs.withColumn("_j_key", _key(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # only rows whose id and text are repeated are dealt by them once more
+    once = rows.join(kept.filter("_j_again is null or not _j_worded").select("_j_key"), "_j_key", "left_semi")
+    repeated = rows.join(kept.filter("_j_again and _j_worded").select("_j_key"), "_j_key", "left_semi").dropDuplicates(["_j_key"])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

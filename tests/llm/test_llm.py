@@ -103,6 +103,23 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     assert jaccard.join_links(spark.createDataFrame([], "doc_id bigint, text string"))[0].count() == 0
 
 
+def test_jaccard_with_null_and_repeated_ids(spark):
+    """Sets are compared by their own shingles, whatever the ids."""
+    r = random.Random(11)
+    prose = lambda: [f"w{r.randrange(10**6)}" for _ in range(60)]
+    near = lambda w, i: " ".join([*w[:-1], f"end{i}"])
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(None, near(a, 0)), (None, near(a, 1)), (None, near(a, 1)), (None, near(b, 0)), (None, ""), (None, "")]  # near copies under null ids
+    rows += [(5, near(c, 0)), (5, near(d, 0)), (6, near(c, 1)), (4, near(d, 1))]  # two texts under one id
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    links = {(x.doc_id, x.component_id, x.n_links) for x in jaccard.join_links(docs)[0].filter("doc_id is not null").collect()}
+    assert links == {(5, 5, 1), (6, 5, 1), (5, 4, 1), (4, 4, 1)}
+    assert sorted(x.n_links for x in jaccard.join_links(docs)[0].filter("doc_id is null").collect()) == [0, 0, 0, 2, 2, 2]
+    kept = sorted((tuple(x) for x in jaccard.one_of_each(docs).collect()), key=repr)
+    assert len(kept) == 6 and kept.count((None, "")) == 2 and (None, near(b, 0)) in kept
+    assert [x for x in kept if x[0]] == [(4, near(d, 1)), (5, near(c, 0))] and sum(x in ((None, near(a, 0)), (None, near(a, 1))) for x in kept) == 1
+
+
 def test_signatures_are_shared():
     r = np.random.default_rng(3)
     for n in (6, 13, 40, 200, 900):
