@@ -45,8 +45,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_follows
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and documents of which no line is left."""
-    out = lines.dedup_lines(docs)
+    """Later copies of repeated lines, alone or in runs, go, and documents of which no line is left."""
+    out = lines.dedup_lines(docs, min_lines=1)
     some = (F.col("_l_removed") == 0) | (F.col("_l_removed") < F.col("_l_lines"))
     return _counted(out.filter(some).select(*[F.col(f"`{c}`") for c in docs.columns]))
 

@@ -7,7 +7,8 @@ order of the suffix array, and the suffixes of equal rank at step j are its inte
 common prefix of at least 2 ** j lines. An interval is aggregated before it is joined back, so that
 a line of a third of all documents meets in no single task. Of every interval of at least
 `min_lines` lines, all occurrences but the first (by id, then place) are deleted; runs of any length
-are covered by the union of theirs.
+are covered by the union of theirs. With more than one, repeated lines whose neighbours differ stay, and
+so do all copies of shorter documents.
 
 Lines are what line ends separate; lines without a word are no part of a run and always stay. They
 are compared by 96-bit hashes.
@@ -41,7 +42,7 @@ def _placed(rows: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
     return spill(rows.join(classes, by).select("doc_id", "key", "p", "i", "rank", (~first).alias("later")), "line-suffixes")[0]
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, min_lines: int = 1) -> tuple[DataFrame, DataFrame]:
     """Occurrences of repeated runs, and the places of all repeated lines.
 
     The first: key, p, lines (the length, doubling from min_lines), later (not the first occurrence). The
@@ -66,7 +67,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> tuple[DataFrame, DataF
     return found, places
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 1, column: str = "text") -> DataFrame:
     """`docs` with the text without later copies, and _l_lines, _l_removed (numbers of lines with a word), _l_run (longest deleted run found by doubling)."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

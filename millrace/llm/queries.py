@@ -39,7 +39,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)  # as in its SQL
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return out.select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_removed").alias("n_removed"), digest.alias("kept_sha256"))
 

@@ -206,6 +206,19 @@ def test_lines(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_pipeline_deletes_single_repeated_lines(spark):
+    """A repeated line whose neighbours differ, and copies of a one-line document."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "one\nsame line\ntwo"), (2, "three\nsame line\nfour\n\nsame line"), (3, "a whole document"), (4, "a whole document"), (5, "five\n\nsix"), (6, None)]
+    seen, want = set(), {}
+    for k, t in rows:
+        fresh = [x for x in (t or "").split("\n") if not (WORD.search(x) and (x in seen or seen.add(x)))]
+        if not t or any(WORD.search(x) for x in fresh):
+            want[k] = t and "\n".join(fresh)
+    out = pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert {r.doc_id: r.text for r in out.collect()} == want and 4 not in want
+
+
 def test_quality(docs, empty):
     for r in quality.judge(docs).collect():
         pass
