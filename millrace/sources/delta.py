@@ -2,7 +2,7 @@
 
 The log is replayed with DataFrames: the last checkpoint at or before the version and the commits
 after it. Only the list of live files comes to the driver, as every scan needs it there. Partition
-values come from the log, deletion vectors are decoded on the executors and anti-joined by file and
+values come from the log, columns mapped by name are read by their physical names (a mapping by id is rejected), deletion vectors are decoded on the executors and anti-joined by file and
 row number.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from millrace.errors import MillraceError, clean
 
 #: Reader features that are understood.
-FEATURES = ["deletionVectors", "timestampNtz", "typeWidening", "typeWidening-preview", "v2Checkpoint", "vacuumProtocolCheck"]
+FEATURES = ["columnMapping", "deletionVectors", "timestampNtz", "typeWidening", "typeWidening-preview", "v2Checkpoint", "vacuumProtocolCheck"]
 _DV = "struct<storageType:string,pathOrInlineDv:string,offset:int,sizeInBytes:int,cardinality:bigint>"
 _ACTIONS = (
     f"add struct<path:string,partitionValues:map<string,string>,size:bigint,deletionVector:{_DV}>,"
@@ -70,6 +70,25 @@ def check_protocol(reader_version: int, features: list[str]) -> None:
             raise MillraceError("preflight", "reader_feature", f"reader feature {f} is not supported", feature=clean(f))
 
 
+def check_mapping(configuration: dict[str, str]) -> bool:
+    """Whether columns are stored under the physical names of the schema."""
+    mode = configuration.get("delta.columnMapping.mode", "none")
+    if mode not in ("none", "name"):
+        raise MillraceError("preflight", "column_mapping", f"column mapping mode {mode} is not supported", mode=clean(mode))
+    return mode == "name"
+
+
+def _physical(kind: T.DataType) -> T.DataType:
+    """The type with the fields' physical names, at any depth."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField((f.metadata or {}).get("delta.columnMapping.physicalName", f.name), _physical(f.dataType), f.nullable) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_physical(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_physical(kind.keyType), _physical(kind.valueType), kind.valueContainsNull)
+    return kind
+
+
 def _actions(spark: SparkSession, log: str, version: int | None) -> tuple[DataFrame, int]:
     names = _names(spark, log)
     commits = {int(m[1]): n for n in names if (m := re.fullmatch(r"(\d{20})\.json", n))}
@@ -216,28 +235,54 @@ def load(spark: SparkSession, uri: str, version: int | None = None) -> Snapshot:
     check_protocol(protocol["minReaderVersion"], features)
     schema = T.StructType.fromJson(json.loads(meta["schemaString"]))
     parts = list(meta["partitionColumns"] or [])
+    mapped = check_mapping(meta["configuration"] or {})
     found = [f.asDict(recursive=True) for f in live]
     for f in found:
         path = urllib.parse.unquote(f["path"])
         f["url"] = path if re.match(r"[a-z0-9+.-]+://|/", path) else f"{root}/{path}"
-    return Snapshot(uri, last, schema, parts, protocol["minReaderVersion"], features, found, _scan(spark, root, schema, parts, found))
+    return Snapshot(uri, last, schema, parts, protocol["minReaderVersion"], features, found, _scan(spark, root, schema, parts, found, mapped))
+
 
+def _widened(logical: T.StructType, schema: T.StructType) -> list[str]:
+    """Columns, by their name in files, that were widened from a byte or short to a decimal: Spark's reader can't do it."""
+    changes = lambda f: (f.metadata or {}).get("delta.typeChanges", [])
+    return [p.name for f, p in zip(logical, schema, strict=True) if isinstance(f.dataType, T.DecimalType) and any(c.get("fromType") in ("byte", "short") for c in changes(f))]
 
-def _scan(spark: SparkSession, root: str, schema: T.StructType, parts: list[str], files: list) -> DataFrame:
+
+def _by_types(spark: SparkSession, stored: T.StructType, widened: list[str], urls: list[str]) -> list[tuple[T.StructType, list[str]]]:
+    """The files by the types that they have for widened columns, with the schema to read each group by."""
+    if not widened:
+        return [(stored, urls)]
+    found: dict[str, tuple[T.StructType, list[str]]] = {}
+    for u in urls:
+        have = {f.name: f.dataType for f in spark.read.parquet(u).schema if f.name in widened}
+        own = T.StructType([T.StructField(f.name, have[f.name] if isinstance(have.get(f.name), T.IntegralType) else f.dataType) for f in stored])
+        found.setdefault(own.json(), (own, []))[1].append(u)
+    return list(found.values())
+
+
+def _scan(spark: SparkSession, root: str, schema: T.StructType, parts: list[str], files: list, mapped: bool = False) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
+    logical = schema
+    if mapped:  # files and partition values have the physical names
+        schema = _physical(logical)
+        parts = [p.name for f, p in zip(logical, schema, strict=True) for c in parts if f.name == c]
     stored = T.StructType([f for f in schema if f.name not in parts])
     groups: dict[tuple, list[str]] = {}
     for f in files:
         groups.setdefault(tuple((f["partitionValues"] or {}).get(c) for c in parts), []).append(f["url"])
     gone = _deleted(spark, root, files)
     # one scan whatever the number of partitions: their values are joined by file, from a table of the log's size
-    df = spark.read.schema(stored).parquet(*[u for urls in groups.values() for u in urls])
+    urls = [u for urls in groups.values() for u in urls]
     name = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), r"^[a-z0-9+.-]+:/+", "/")
-    if gone is not None:
-        df = df.withColumn("_file", name(F.col("_metadata.file_path"))).withColumn("_row", F.col("_metadata.row_index"))
-    elif parts and len(groups) > 1:
-        df = df.withColumn("_file", name(F.col("_metadata.file_path")))
+    place = [name(F.col("_metadata.file_path")).alias("_file")] if gone is not None or (parts and len(groups) > 1) else []
+    place += [F.col("_metadata.row_index").alias("_row")] if gone is not None else []
+    df = None
+    for own, some in _by_types(spark, stored, _widened(logical, schema), urls):
+        part = spark.read.schema(own).parquet(*some)
+        part = part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in stored], *place)
+        df = part if df is None else df.unionByName(part)
     if gone is not None:
         gone = gone.withColumn("_file", F.regexp_replace("_file", r"^[a-z0-9+.-]+:/+", "/"))
         df = df.join(gone, ["_file", "_row"], "left_anti")
@@ -249,4 +294,4 @@ def _scan(spark: SparkSession, root: str, schema: T.StructType, parts: list[str]
         rows = [(re.sub(r"^[a-z0-9+.-]+:/+", "/", u), *values) for values, urls in groups.items() for u in urls]
         table = spark.createDataFrame(rows, T.StructType([T.StructField("_file", T.StringType())] + [T.StructField(c, T.StringType()) for c in parts]))
         df = df.join(table, "_file", "left")
-    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(*[F.col(f"`{p.name}`").cast(f.dataType).alias(f.name) for f, p in zip(logical, schema, strict=True)])

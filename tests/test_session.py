@@ -78,6 +78,42 @@ def test_snapshots(spark, tmp_path):
     assert kind(s.delta_lakes, {"a": (root, None), "b": (root + "x", None)}) == "no_log" and "a" not in s.tables
 
 
+def write_log(root, fields, files, parts=(), configuration=None, features=None):
+    """A table of one commit; files: (DataFrame, partition values)."""
+    (root / "_delta_log").mkdir(parents=True)
+    reader = {"minReaderVersion": 3, "readerFeatures": features} if features else {"minReaderVersion": 2}
+    schema = {"type": "struct", "fields": fields}
+    actions = [{"protocol": {**reader, "minWriterVersion": 7}}, {"metaData": {"id": "x", "format": {"provider": "parquet"}, "schemaString": json.dumps(schema), "partitionColumns": list(parts), "configuration": configuration or {}}}]
+    for i, (df, values) in enumerate(files):
+        df.coalesce(1).write.parquet(str(root / f"f{i}"))
+        f = next(x for x in (root / f"f{i}").iterdir() if x.suffix == ".parquet")
+        actions.append({"add": {"path": f"f{i}/{f.name}", "partitionValues": values, "size": f.stat().st_size, "modificationTime": 0, "dataChange": True}})
+    (root / "_delta_log" / f"{0:020}.json").write_text("\n".join(map(json.dumps, actions)))
+    return str(root)
+
+
+def test_mapped_columns(spark, tmp_path):
+    field = lambda name, kind, physical: {"name": name, "type": kind, "nullable": True, "metadata": {"delta.columnMapping.id": 1, "delta.columnMapping.physicalName": physical}}
+    fields = [field("region", "string", "c1"), field("id", "long", "c2"), field("at", {"type": "struct", "fields": [field("x", "long", "c4")]}, "id")]
+    file = lambda i: spark.range(i, i + 2).selectExpr("id as c2", "struct(-id as c4) as id")
+    files = [(file(0), {"c1": "west"}), (file(10), {"c1": "east"})]
+    for n, features in enumerate((None, ["columnMapping"])):
+        root = write_log(tmp_path / f"m{n}", fields, files, ["region"], {"delta.columnMapping.mode": "name"}, features)
+        got = Session(spark).delta_lake(root).df_
+        assert got.columns == ["region", "id", "at"] and got.selectExpr("at.x").columns == ["x"]
+        assert sorted((r.region, r.id, r["at"]["x"]) for r in got.collect()) == [("east", 10, -10), ("east", 11, -11), ("west", 0, 0), ("west", 1, -1)]
+    root = write_log(tmp_path / "by_id", fields, files, ["region"], {"delta.columnMapping.mode": "id"})
+    assert kind(Session(spark).delta_lake, root) == "column_mapping"
+
+
+def test_widened_to_decimal(spark, tmp_path):
+    changes = [{"fromType": "byte", "toType": "decimal(6,1)"}]
+    fields = [{"name": "v", "type": "decimal(6,1)", "nullable": True, "metadata": {"delta.typeChanges": changes}}]
+    files = [(spark.sql(f"select cast({x}) as v"), {}) for x in ("3 as byte", "4 as short", "5.5 as decimal(6,1)")]
+    root = write_log(tmp_path / "w", fields, files, features=["typeWidening"])
+    assert sorted(float(r.v) for r in Session(spark).delta_lake(root).df_.collect()) == [3.0, 4.0, 5.5]
+
+
 def test_protocol_and_bitmaps():
     assert kind(check_protocol, 4, []) == "reader_version" and kind(check_protocol, 3, ["odd\nname"]) == "reader_feature"
     assert bitmap_rows(bitmap([0, 7, 4095])).tolist() == [0, 7, 4095]
