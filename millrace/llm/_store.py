@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
 import tempfile
+import threading
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new local one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new local one is set, on a local master only."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         base = context.getCheckpointDir()
     return base.rstrip("/")
@@ -43,20 +49,44 @@ def writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-#: Tables written within tracked(), for release().
-_written: list[str] = []
-_tracking = False
+class _Tables(threading.local):
+    """Tables of this thread: `stage` since the last release(), `all` of them until they are deleted."""
+
+    def __init__(self) -> None:
+        self.stage: list[str] = []
+        self.tracking = False
+
+
+_tables = _Tables()
+#: Written tables that nothing has deleted yet; they go when the process ends.
+_left: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _leave() -> None:
+    for path, spark in list(_left.items()):
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            continue
+        discard(spark, path)
 
 
 @contextmanager
 def tracked() -> Iterator[None]:
-    """Tables that spill() writes inside are remembered."""
-    global _tracking
-    was, _tracking = _tracking, True
+    """Tables that spill() writes inside belong to this stage and go with release()."""
+    was, _tables.tracking = _tables.tracking, True
     try:
         yield
     finally:
-        _tracking = was
+        _tables.tracking = was
+
+
+def owned(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder, deleted with the stage that asked for it or else when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    if _tables.tracking and not keep:
+        _tables.stage.append(path)
+    return path
 
 
 def spill(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> tuple[DataFrame, str]:
@@ -65,11 +95,9 @@ def spill(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fals
     A written table cuts the lineage: a lost executor costs no recomputation of what precedes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = owned(spark, name, keep)
     with writing(spark):
         df.write.option("compression", compression).parquet(path)
-    if _tracking and not keep:
-        _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -79,12 +107,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        _left.pop(path, None)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the remembered tables. Only for when every result built on them is written."""
-    discard(spark, *_written)
-    _written.clear()
+def release(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete the tables of this thread's stages before, but those that `docs` still reads.
+
+    Only for when the results of these stages are written, as the pipeline does between its stages.
+    """
+    read = {urllib.parse.unquote(f) for f in docs.inputFiles()}
+    base = lambda path: re.sub(r"^[a-z0-9+.-]+:/*", "/", path) + "/"
+    used = {p for p in _tables.stage if any(base(f).startswith(base(p)) for f in read)}
+    discard(spark, *(p for p in _tables.stage if p not in used))
+    _tables.stage[:] = [p for p in _tables.stage if p in used]
     clean_shuffles(spark)
 
 

@@ -8,7 +8,8 @@ place in the stream, and the second pass cuts each document at the window bounda
 of all others. A document that crosses a boundary gives one record for each window it touches.
 
 Defined results: a null text is empty and still gives its end id; rows repeated or with a null id
-are documents of their own; an empty table gives no pieces; other columns are not read.
+are documents of their own; an empty table gives no pieces; other columns are not read. Texts are
+encoded whole, however long: one that the fast encoder refuses goes to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -55,7 +56,17 @@ def byte_bpe(json_path: str) -> Callable[[list[str]], list[list[int]]]:
     probe = ["", " a", "Don't  stop \n\n 12 é　x", "".join(map(chr, range(1, 400))), *special]
     if [fast.encode(t, allowed_special="all") for t in probe] != slow(probe):
         return slow
-    return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        out = []
+        for t in texts:
+            try:
+                out.append(fast.encode(t, allowed_special="all"))
+            except ValueError:  # its pattern gives up on white space of about a million characters
+                out += slow([t])
+        return out
+
+    return encode
 
 
 def _ranks(spec: dict) -> dict[bytes, int] | None:

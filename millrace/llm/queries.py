@@ -6,7 +6,6 @@ the whole table, and derives digest columns from what the operator returns.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, langid, lines, media, packing, pieces, pii, quality, substring, urls
-from millrace.llm._store import shared_dir
+from millrace.llm._store import owned
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +25,7 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
-    return media.features(media.store(_table(spark, sf_dir, "documents"), path))
+    return media.features(media.store(_table(spark, sf_dir, "documents"), owned(spark, "media")))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,6 +332,15 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_very_long_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, run = Tokenizer.from_file(path), packing.byte_bpe(path)
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a" * 1_000_000, "x" + " \n" * 700_000 + "y"):
+        assert run(["b", text]) == [t.encode(x, add_special_tokens=False).ids for x in ("b", text)]
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_as_sql(spark, name):
     same(spark, name, queries()[name], oracle_sql()[name])
