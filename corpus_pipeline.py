@@ -25,7 +25,7 @@ def _follows(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark)
+        release(spark, docs)
         with tracked():
             return stage(spark, docs, sf_dir)
 
@@ -65,7 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 tokens."""
-    release(spark)
+    release(spark, docs)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024, end_id=0)
 
 
