@@ -1,12 +1,16 @@
 """Quality rules by weak supervision, with DataFrame functions only.
 
-Each rule votes good or bad or abstains on counts of a whole text. Expectation-maximisation over
-the counts of vote patterns (at most 3 ** rules of them, whatever the number of documents)
-estimates the rules' accuracies and the share of good documents without labels; the posterior
-probability of quality decides. A document that fails the base rule is rejected in any case.
-
-Defined results: null and empty texts have no words and fail the base rule; repeated rows give
-repeated rows; on an empty table nothing is estimated and nothing returned; `keep` passes
+Each rule votes good or bad or abstains on counts of a whole text; no rule is a combination of
+others, and several look at the same thing from different sides. Expectation-maximisation over the
+counts of vote patterns (at most 3 ** rules of them, whatever the number of documents) estimates,
+without labels, how often each rule votes bad, abstains and votes good on good and on bad documents, and the
+share of good ones. It starts from the share of good among each document's votes; the only
+prior is `PRIOR`, which counts as ten documents. The posterior probability of quality decides: a rule
+that often misfires loses its weight, and a few bad votes that rarely come alone can outweigh many
+good ones. A document that fails the base rule is rejected in any case.
+
+Defined results: null and empty texts have no words and fail the base rule; texts are counted whole, however long;
+documents with equal votes get equal verdicts; repeated rows give repeated rows; on an empty table nothing is estimated and nothing returned; `keep` passes
 all columns on, whatever their names.
 """
 
@@ -24,21 +28,29 @@ SPACE = r"[\x20\x09-\x0D]+"
 SOLID = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 THRESHOLD = 0.5
-#: Weight of the first guess of the rules' rates, as a share of the documents.
-PRIOR_WEIGHT = 0.2
-#: The most good documents, as a share, that a rule may be thought to vote against.
-MOST_WRONG = 0.005
+ROUNDS = 500
+#: Votes (bad, abstained, good) that a rule is taken to have cast on bad and on good documents before any is seen.
+PRIOR = ((4.0, 2.0, 4.0), (1.0, 1.0, 8.0))
+
+#: Frequent function words of English, German, French and Spanish.
+FUNCTION_WORDS = """
+    the of and to a in is it for on with as was by that this be are from at or an
+    der die das und zu den von mit auf für ist im dem ein eine des sich nicht
+    de la le les et en un une du que dans par pour sur au el los las y del con se por para lo al
+""".split()
 
 #: name, then the SQL conditions under which the rule votes bad and good; it abstains where neither holds.
 RULES = [
-    ("length", "n_words < 50", "n_words >= 80"),
-    ("repetition", "100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 20 * n_words"),
-    ("symbols", "10 * n_symbols > 2 * n_words", "100 * n_symbols <= 4 * n_words"),
-    ("lines", "10 * n_dup_lines > 4 * n_lines", "10 * n_dup_lines <= n_lines"),
-    ("word_length", "word_chars > 18 * n_words or word_chars < 2 * n_words", "word_chars <= 12 * n_words and word_chars >= 3 * n_words"),
-    ("capitals", "10 * n_upper > 4 * word_chars", "10 * n_upper <= 2 * word_chars"),
-    ("exclamation", "10 * n_exclaim > 3 * n_words", "100 * n_exclaim <= 5 * n_words"),
-    ("prose", "false", "n_words >= 30 and 100 * n_repeat_words <= 40 * n_words and 10 * n_symbols <= n_words and 10 * n_upper <= 3 * word_chars and 10 * n_exclaim <= 2 * n_words and word_chars <= 15 * n_words"),
+    ("length", "n_words < 50", "n_words >= 100"),
+    ("repetition", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    ("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    ("letters", "100 * n_letters < 85 * word_chars", "100 * n_letters >= 93 * word_chars"),
+    ("capitals", "10 * n_upper > 3 * n_letters", "10 * n_upper <= n_letters"),
+    ("exclamation", "10 * n_exclaim > n_words", "100 * n_exclaim <= 2 * n_words"),
+    ("function_words", "100 * n_function < 8 * n_words", "100 * n_function >= 15 * n_words"),
+    ("word_length", "10 * word_chars > 65 * n_words or word_chars < 3 * n_words", "10 * word_chars <= 60 * n_words and word_chars >= 4 * n_words"),
+    ("distinct", "100 * n_distinct < 60 * n_words", "100 * n_distinct >= 70 * n_words"),
+    ("sentences", "100 * n_sentences < 4 * n_words or 100 * n_sentences > 20 * n_words", "100 * n_sentences >= 6 * n_words and 100 * n_sentences <= 15 * n_words"),
 ]
 
 
@@ -65,66 +77,51 @@ def measured(docs: DataFrame, column: str = "text") -> tuple[DataFrame, list[str
         "n_repeat_words": repeated,
         "n_upper": F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", "")),
         "n_exclaim": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
+        "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
+        "n_function": F.size(F.filter(words, lambda w: F.lower(w).isin(FUNCTION_WORDS))),
+        "n_distinct": F.size(F.array_distinct(words)),
+        "n_sentences": F.regexp_count(t, F.lit(rf"[.?!](?!{SOLID})")),
     }
     out = out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.cast("bigint").alias(f"_q_{name}") for name, c in counts.items()])
     return out, list(counts)
 
 
 def _vote(bad: str, good: str, names: list[str]) -> Column:
-    bad, good = (re.sub("|".join(names), lambda m: f"_q_{m[0]}", s) for s in (bad, good))
+    bad, good = (re.sub("|".join(rf"\b{x}\b" for x in names), lambda m: f"_q_{m[0]}", s) for s in (bad, good))
     return F.expr(f"case when {bad} then 0 when {good} then 1 end")
 
 
-#: Probabilities of a bad vote, of an abstention and of a good vote, on a bad and on a good document: the first
-#: guess. Junk mostly fails one rule and satisfies the others; few of it satisfies the rule for prose.
-GUESS = ((0.25, 0.05, 0.70), (0.003, 0.047, 0.95))
-PROSE = ((0.01, 0.84, 0.15), (0.003, 0.047, 0.95))
 Rates = list[tuple[tuple[float, ...], tuple[float, ...]]]
+Pattern = tuple[int | None, ...]
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> tuple[float, Rates]:
-    """Share of good documents, and each rule's rates of voting bad, abstaining and voting good on bad and good documents.
+def estimate(patterns: list[tuple[Pattern, int]], rounds: int = ROUNDS) -> tuple[float, Rates]:
+    """Share of good documents, and each rule's rates of voting bad, abstaining and voting good on bad and on good documents.
 
-    patterns: votes of all rules (1 good, 0 bad, None abstains), the rule for prose last, and how many documents have them.
+    patterns: votes of all rules (1 good, 0 bad, None abstains), and how many documents have them.
     """
-    rules = len(patterns[0][0]) if patterns else len(RULES)
-    guess = [PROSE if i == rules - 1 else GUESS for i in range(rules)]
-    prior, rates = 0.85, list(guess)
+    total = sum(n for _, n in patterns)
+    places = [[1 if v is None else 2 * v for v in votes] for votes, _ in patterns]
+    now = [(p.count(2) + 1) / (p.count(2) + p.count(0) + 2) for p in places]
+    share, rates = 0.5, [PRIOR] * len(RULES)
     for _ in range(rounds):
-        # the guess stays as a prior in both classes, so that no single kind of junk takes the bad class for itself
-        weight = 1 + PRIOR_WEIGHT * sum(n for _, n in patterns)
-        sums = [[[weight * x for x in side] for side in g] for g in guess]
-        good = total = 0.0
-        for votes, n in patterns:
-            p = posterior(votes, prior, rates)
-            good += n * p
-            total += n
-            for s, v in zip(sums, votes, strict=True):
-                k = 1 if v is None else 2 * v
+        share = (sum(n * p for (_, n), p in zip(patterns, now, strict=True)) + 1) / (total + 2)
+        sums = [[list(side) for side in PRIOR] for _ in RULES]
+        for (_, n), place, p in zip(patterns, places, now, strict=True):
+            for s, k in zip(sums, place, strict=True):
                 s[0][k] += n * (1 - p)
                 s[1][k] += n * p
-        was, prior = prior, min(0.98, max(0.5, (good + 3.4) / (total + 4)))
-        rates = []
-        for s in sums:
-            bad, fine = ([max(0.002, x / sum(side)) for x in side] for side in s)
-            # rules are written to spare good documents; without this bound one kind of junk could pass for the good class
-            fine[1] += max(0.0, fine[0] - MOST_WRONG)
-            fine[0] = min(fine[0], MOST_WRONG)
-            # a vote is never taken for its opposite
-            if bad[0] < fine[0]:
-                bad[0] = fine[0] = (bad[0] + fine[0]) / 2
-            if fine[2] < bad[2]:
-                bad[2] = fine[2] = (bad[2] + fine[2]) / 2
-            rates.append((tuple(bad), tuple(fine)))
-        if abs(prior - was) < 1e-10:
+        rates = [tuple(tuple(x / sum(side) for x in side) for side in s) for s in sums]
+        was, now = now, [posterior(votes, share, rates) for votes, _ in patterns]
+        if all(abs(a - b) < 1e-9 for a, b in zip(was, now, strict=True)):
             break
-    return prior, rates
+    return share, rates
 
 
-def posterior(votes: tuple[int | None, ...], prior: float, rates: Rates) -> float:
+def posterior(votes: Pattern, prior: float, rates: Rates) -> float:
     """Probability of quality, given the votes."""
     logit = math.log(prior / (1 - prior)) + sum(_weights(r)[1 if v is None else 2 * v] for v, r in zip(votes, rates, strict=True))
-    return 1 / (1 + math.exp(-logit))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
 def _weights(rates: tuple[tuple[float, ...], tuple[float, ...]]) -> list[float]:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from oracle import same
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -239,10 +240,51 @@ def test_quality(docs, empty):
     assert {tuple(r) for r in quality.keep(docs).collect()} <= {tuple(r) for r in docs.collect()}
 
 
-def test_estimation_finds_junk():
-    good, junk = (1,) * 8, (1, 1, 0, 1, 1, 1, 1, None)
-    prior, rates = quality.estimate([(good, 900), (junk, 60), ((1, 1, 1, None, 1, 1, 1, 1), 40)])
-    assert quality.posterior(good, prior, rates) > 0.9 and quality.posterior(junk, prior, rates) < 0.5
+def estimated(votes):
+    """Posterior of each row of votes by plain expectation-maximisation, row by row."""
+    votes = np.array([[2 if v is None else v for v in row] for row in votes])
+    for_, against = (votes == 1).sum(1), (votes == 0).sum(1)
+    p = (for_ + 1) / (for_ + against + 2)
+    prior = {0: np.array(quality.PRIOR[0]), 1: np.array(quality.PRIOR[1])}
+    for _ in range(quality.ROUNDS):
+        share = (p.sum() + 1) / (len(p) + 2)
+        logit = np.full(len(p), np.log(share / (1 - share)))
+        for rule in votes.T:
+            rates = []
+            for side, w in ((0, 1 - p), (1, p)):
+                n = np.array([w[rule == k].sum() for k in (0, 2, 1)]) + prior[side]
+                rates.append(dict(zip((0, 2, 1), n / n.sum())))
+            logit += [np.log(rates[1][v] / rates[0][v]) for v in rule]
+        was, p = p, 1 / (1 + np.exp(-logit))
+        if np.abs(p - was).max() < 1e-9:
+            break
+    return p
+
+
+def test_quality_is_estimated_from_the_votes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.scored(docs.select("doc_id", "text")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id", "left").collect()
+    votes = [[r[f"_q_vote_{x}"] for x, _, _ in quality.RULES] for r in rows]
+    p = estimated(votes)
+    assert np.abs(p - [r["_q_quality"] for r in rows]).max() < 1e-6
+    assert [r["_q_kept"] for r in rows] == [x >= 0.5 and not r["_q_failed"] for x, r in zip(p, rows, strict=True)]
+    open_ = [(r["_q_kept"], None in v or 0 in v, 0 not in v, v.count(1) >= v.count(0), r["label"]) for r, v in zip(rows, votes, strict=True) if not r["_q_failed"]]
+    assert sum(kept and not clean for kept, _, clean, _, _ in open_) > 4  # kept although a rule votes bad
+    assert sum(not kept and most for kept, _, _, most, _ in open_) > 4  # rejected although most rules vote good
+    assert not any(kept for kept, *_, label in open_ if label == 0) and sum(not kept for kept, *_, label in open_ if label == 1) <= 3
+
+
+def test_a_rule_that_misfires_is_learned_to_be_inaccurate():
+    """One rule votes bad on a third of otherwise good documents; two kinds of junk have several bad votes each."""
+    n = len(quality.RULES)
+    good, odd = (1,) * n, (1, 1, 0) + (1,) * (n - 3)
+    junk = (0, 0) + (1,) * (n - 2), (1,) * (n - 3) + (0, 0, None)
+    prior, rates = quality.estimate([(good, 600), (odd, 300), (junk[0], 60), (junk[1], 40)])
+    assert quality.posterior(odd, prior, rates) > 0.5 and quality.posterior(good, prior, rates) > 0.9
+    assert all(quality.posterior(j, prior, rates) < 0.5 for j in junk)
+    for few in ([(good, 50)], [(good, 1)], []):
+        prior, rates = quality.estimate(few)
+        assert quality.posterior(good, prior, rates) > 0.5
 
 
 def test_pii(docs, empty):
@@ -337,7 +379,7 @@ def test_packing_of_very_long_texts():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, run = Tokenizer.from_file(path), packing.byte_bpe(path)
-    for text in (" " * 2_000_000, "\n" * 2_000_000, "a" * 1_000_000, "x" + " \n" * 700_000 + "y"):
+    for text in (" " * 1_050_000, "x" + " \n" * 550_000 + "y", "a" * 100_000):
         assert run(["b", text]) == [t.encode(x, add_special_tokens=False).ids for x in ("b", text)]
 
 
