@@ -4,18 +4,21 @@ The documents are sequences of line ids; their suffixes are sorted by prefix dou
 every step to suffixes whose prefix is repeated (all others are already in their place): the rank of
 the first 2 ** (j + 1) lines follows from the ranks of the first and the next 2 ** j. Ranks keep the
 order of the suffix array, and the suffixes of equal rank at step j are its intervals of longest
-common prefix of at least 2 ** j lines. An interval is aggregated before it is joined back, so that
-a line of a third of all documents meets in no single task. Of every interval of at least
-`min_lines` lines, all occurrences but the first (by id, then place) are deleted; runs of any length
-are covered by the union of theirs. With more than one, repeated lines whose neighbours differ stay, and
-so do all copies of shorter documents.
+common prefix of at least 2 ** j lines. Every place takes the longest interval of at least `min_lines` lines in
+which it is not the first occurrence (by id, then place), and the run of that length is deleted there.
+A maximal repeated run of another length is covered by such runs that overlap, and nothing else is:
+what precedes a deleted line's copy in its run also precedes its earlier occurrence. With more than one, repeated lines whose neighbours differ
+stay, and so do all copies of shorter documents.
+
+An interval is aggregated before it is joined back. Those that hold more than one in `HEAVY` of all
+places, at most `HEAVY` intervals, are broadcast, so that a line of a third of all documents meets in no single task.
 
 Lines are what line ends separate; lines without a word are no part of a run and always stay. They
 are compared by 96-bit hashes.
 
 Defined results: null and empty texts have no lines and stay; of rows that are repeated the first in
-order of id and of a hash of the text stays, wholly equal rows count as one; an empty table gives no
-rows; columns other than doc_id and the text are passed on.
+order of id (null first) and of a hash of the text stays, wholly equal rows count as one; an empty table gives no
+rows; very long texts are sequences like all others; columns other than doc_id and the text are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql.window import Window
 from millrace.llm._store import spill
 
 SOLID = r"[^\x20\x09-\x0D]"
+#: Intervals of more than one in so many of all repeated places are joined by broadcast: there are fewer of them.
+HEAVY = 10_000
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -38,8 +43,16 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def _placed(rows: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
     """The rows of repeated classes with their rank; whether they are not the first of their class."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    heavy = classes.filter(HEAVY * F.col("copies") > total).select(*by, F.col("rank").alias("h_rank"), F.col("first").alias("h_first"))
+    rest = classes.filter(HEAVY * F.col("copies") <= total).select(*[F.col(c).alias(f"r_{c}") for c in by], "rank", "first", F.lit(True).alias("r_open"))
+    # rows that have found their class are dealt by their own place and match no other
+    found = rows.join(F.broadcast(heavy), by, "left").withColumn("open", F.col("h_rank").isNull())
+    found = found.withColumn("deal", F.when(F.col("open"), F.col(by[0]).cast("bigint")).otherwise(F.xxhash64("key", "p")))
+    match = (F.col("deal") == F.col(f"r_{by[0]}")) & (F.col(by[1]) == F.col(f"r_{by[1]}")) & (F.col("open") == F.col("r_open"))
+    found = found.join(rest, match, "left").withColumn("rank", F.coalesce("h_rank", "rank")).withColumn("first", F.coalesce("h_first", "first")).filter("rank is not null")
     first = (F.col("first.key") == F.col("key")) & (F.col("first.p") == F.col("p"))
-    return spill(rows.join(classes, by).select("doc_id", "key", "p", "i", "rank", (~first).alias("later")), "line-suffixes")[0]
+    return spill(found.select("doc_id", "key", "p", "i", "rank", (~first).alias("later")), "line-suffixes")[0]
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -68,18 +81,20 @@ def repeated_runs(docs: DataFrame, min_lines: int = 1) -> tuple[DataFrame, DataF
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 1, column: str = "text") -> DataFrame:
-    """`docs` with the text without later copies, and _l_lines, _l_removed (numbers of lines with a word), _l_run (longest deleted run found by doubling)."""
+    """`docs` with the text without later copies, and _l_lines, _l_removed (numbers of lines with a word), _l_run (most neighbouring ones deleted)."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     rows = docs.select(whole.alias("_l_row"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("_l_text")).withColumn("_l_key", F.xxhash64("doc_id", "_l_text"))
     short = rows.select("doc_id", F.col("_l_key").alias("key"), F.col("_l_text").alias("text"))
     found, places = repeated_runs(short, min_lines)
-    later = found.filter("later")
-    # a run of `lines` lines is covered by the runs of min_lines that it holds, all of them later copies too
-    reach = later.groupBy("key").agg(F.max("lines").alias("_l_run"))
-    gone = later.filter(F.col("lines") == min_lines).select("key", F.explode(F.sequence(F.col("p"), F.col("p") + (min_lines - 1))).alias("p")).distinct()
-    gone = gone.join(places, ["key", "p"]).groupBy("key").agg(F.collect_set("i").alias("_l_gone"))  # lines of one document
-    gone = gone.join(reach, "key").withColumnRenamed("key", "_l_key")
+    # at each place the run of the longest interval in which it is not the first; all deleted lines are repeated ones
+    runs = found.filter("later").groupBy("key", "p").agg(F.max("lines").alias("lines"))
+    before = Window.partitionBy("key").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = places.distinct().join(runs, ["key", "p"], "left").withColumn("end", F.max(F.col("p") + F.col("lines")).over(before)).filter("end > p")
+    # lines in a row have the same distance from their number among the deleted ones
+    gone = gone.withColumn("stretch", F.col("p") - F.row_number().over(Window.partitionBy("key").orderBy("p")))
+    gone = gone.groupBy("key", "stretch").agg(F.collect_list("i").alias("at"), F.count("*").alias("lines"))
+    gone = gone.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("_l_gone"), F.max("lines").alias("_l_run")).withColumnRenamed("key", "_l_key")  # lines of one document
     out = rows.join(gone, "_l_key", "left").withColumn("_l_all", F.split("_l_text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l_all") - 1), F.col("_l_gone"))
     text = F.when(F.col("_l_gone").isNull(), F.col(f"_l_row.`{column}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l_all", i)), "\n"))
