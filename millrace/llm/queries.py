@@ -25,7 +25,8 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(_table(spark, sf_dir, "documents"), owned(spark, "media")))
+    stored = media.store(_table(spark, sf_dir, "documents"), owned(spark, "media"))
+    return media.features(media.analysed(stored, owned(spark, "tensors")))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,23 +134,74 @@ def test_signatures_are_shared():
             assert len(set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())) > jaccard.CORE
 
 
+def slow_features(payload, s=media.Settings()):
+    """Log-mel frames and spans by sums and a matrix of the Fourier transform, frame by frame."""
+    x = np.frombuffer(payload, dtype=np.uint8).astype(float) - 128
+    half = s.taps * max(s.up, s.down)
+    t = np.arange(-half, half + 1)
+    h = np.round(np.sinc(t / max(s.up, s.down)) * np.hamming(len(t)) / max(s.up, s.down) * s.up * 4096)
+    wide = np.zeros(len(x) * s.up)
+    wide[:: s.up] = x
+    y = np.floor(np.convolve(wide, h)[half : half + len(wide)][:: s.down] / 4096 + 0.5)
+    n = max(1, 1 + -(-(len(y) - s.window) // s.hop))
+    y = np.pad(y, (0, (n - 1) * s.hop + s.window - len(y)))
+    mel, rate = lambda f: 2595 * np.log10(1 + f / 700), media.RATE * s.up / s.down
+    edges = 700 * (10 ** (np.linspace(0, mel(rate / 2), s.mels + 2) / 2595) - 1)
+    bins = np.arange(s.window // 2 + 1)
+    hz = bins * rate / s.window
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(s.window), bins) / s.window)
+    logs, energy = [], []
+    for k in range(n):
+        frame = y[k * s.hop : k * s.hop + s.window]
+        power = np.abs((frame * np.hanning(s.window)) @ wave) ** 2
+        logs.append([np.log(1 + sum(p * max(0, min((f - a) / (b - a), (c - f) / (c - b))) for p, f in zip(power, hz))) for a, b, c in zip(edges, edges[1:], edges[2:])])
+        energy.append((frame**2).sum())
+    active, on, mean = [], False, np.mean(energy)
+    for k, e in enumerate([*energy, -1.0]):
+        if on and e < s.leave * mean:
+            active[-1][1], on = k, False
+        if not on and mean > 0 and e >= s.enter * mean:
+            active.append([k, 0])
+            on = True
+    return np.array(logs), [tuple(a) for a in active]
+
+
 def test_media(docs, empty, tmp_path):
-    stored = media.store(docs, str(tmp_path / "media"))
-    for r in media.features(stored).collect():
-        pass
+    stored = media.analysed(media.store(docs, str(tmp_path / "media")), str(tmp_path / "tensors"))
     got = {(r.doc_id, r.payload_sha256): r for r in media.features(stored).collect()}
+    kept = {(r.doc_id, r.payload_sha256): r for r in stored.collect()}
+    s = media.Settings()
     for k, t in data(docs):
         raw = t.encode()
         p = media.pad(raw)
         r = got[k, hashlib.sha256(p).hexdigest()]
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(p), zlib.crc32(p[-64:])) and len(p) % 64 == 0 and p
+        tensors = kept[k, r.payload_sha256]
+        logs, active = slow_features(p)
+        flat = np.array([x["values"] for x in tensors.tensors]).reshape(-1, s.mels)
+        assert tensors.n_frames == len(logs) and len(flat) % s.frames == 0 and not flat[len(logs) :].any()
+        assert np.abs(flat[: len(logs)] - logs).max() <= 1 / 128 + 1e-6
+        assert [(x["start_s"], x["end_s"]) for x in tensors.active] == [(media.seconds(a, s), media.seconds(b, s)) for a, b in active]
+        assert tensors.tensors[0]["start_s"] == 0 and tensors.tensors[-1]["end_s"] == media.seconds(len(logs) - 1, s) + s.window / 6000
+        assert r.feature.startswith(f"frames={len(logs)};tensors={len(tensors.tensors)};mel=")
     same_text = [r.feature for r in got.values() if r.doc_id in (6, 7)]
     assert len(set(same_text)) == 1
-    assert media.features(media.store(empty, str(tmp_path / "none"))).count() == 0
+    assert media.features(media.analysed(media.store(empty, str(tmp_path / "none")), str(tmp_path / "nothing"))).count() == 0
     t = media.tensor_rows(stored).toArrow()
     assert media.as_tensors(t["tensor"]).type.shape == [32, 16] and min(t["end_s"].to_pylist()) > 0
 
 
+def test_media_of_long_payloads_in_blocks(monkeypatch):
+    """Blocks of frames and of samples don't show in the features."""
+    r = np.random.default_rng(1)
+    payloads = [r.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (64, 6400, 320, 25600)]
+    whole = media.analyse(payloads, media.Settings())
+    monkeypatch.setattr(media, "BLOCK_FRAMES", 7)
+    monkeypatch.setattr(media, "BLOCK_SAMPLES", 100)
+    for (a, x), (b, y) in zip(whole, media.analyse(payloads, media.Settings()), strict=True):
+        assert np.array_equal(a, b) and x == y
+
+
 def test_resample_keeps_a_tone():
     x = np.round(100 * np.sin(2 * np.pi * 200 * np.arange(8000) / 8000))
     y = media.resample(x, 3, 4, 8)
@@ -190,23 +241,43 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
-def test_lines(docs, empty):
-    rows = sorted({(k, t) for k, t in data(docs) if k is not None})
-    seq = {k: [(i, x) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for k, t in rows}
-    for m in (1, 2, 3):
-        seen, gone = set(), {k: set() for k in seq}
-        for k, _ in rows:
-            s = seq[k]
-            for p in range(len(s) - m + 1):
-                run = tuple(x for _, x in s[p : p + m])
-                if run in seen:
-                    gone[k] |= {i for i, _ in s[p : p + m]}
+def without_later_copies(rows, m):
+    """id: kept text and the longest stretch of deleted lines, of runs of m lines and more by brute force over all lengths."""
+    rows = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0))
+    seq = [[(i, x) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for _, t in rows]
+    seen, out = set(), {}
+    for (k, t), s in zip(rows, seq, strict=True):
+        gone = set()
+        for p in range(len(s)):
+            for q in range(p + 1, len(s) + 1):
+                run = tuple(x for _, x in s[p:q])
+                if run in seen and len(run) >= m:
+                    gone |= set(range(p, q))
                 seen.add(run)
-        got = {r.doc_id: r.text or "" for r in lines.dedup_lines(docs.filter("doc_id is not null"), m).collect()}
-        assert got == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in rows}
+        marks = "".join("x" if p in gone else " " for p in range(len(s)))
+        drop = {s[p][0] for p in gone}
+        out[k] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop), max(map(len, marks.split())) if gone else 0
+    return out
+
+
+def test_lines(spark, docs, empty):
+    for m in (1, 3):
+        got = {r.doc_id: (r.text or "", r._l_run) for r in lines.dedup_lines(docs, m).collect()}
+        assert got == without_later_copies(data(docs), m)
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_random_sequences(spark, monkeypatch):
+    """Long repeated runs, overlaps, a line everywhere; intervals joined by broadcast, by shuffle and both."""
+    r = random.Random(3)
+    rows = [(i, "\n".join(r.choice(["common", "a", "b", *(f"u{x}" for x in range(8))]) for _ in range(r.randint(1, 30)))) for i in range(25)]
+    rows += [(30, "\n".join(f"long {x}" for x in range(37))), (31, "\n".join(["new", *(f"long {x}" for x in range(3, 36))])), (32, rows[4][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for heavy, m in ((1, 1), (20, 2)):
+        monkeypatch.setattr(lines, "HEAVY", heavy)
+        assert {x.doc_id: (x.text, x._l_run) for x in lines.dedup_lines(df, m).collect()} == without_later_copies(rows, m)
+
+
 def test_pipeline_deletes_single_repeated_lines(spark):
     """A repeated line whose neighbours differ, and copies of a one-line document."""
     pipeline = pytest.importorskip("corpus_pipeline")
