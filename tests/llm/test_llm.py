@@ -418,13 +418,57 @@ def test_langid(spark, empty):
     assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
 
 
-def test_code_lengths_by_hand():
-    m = langid.learn({"a": [b"abab abab"], "b": [b"cdcd cdcd"]})
-    joined = b"abab"
-    whole = langid.code_lengths(m, np.frombuffer(joined + b"cd", dtype=np.uint8), np.array([0, 4, 4, 6]))
-    alone = langid.code_lengths(m, np.frombuffer(joined, dtype=np.uint8), np.array([0, 4]))
-    assert whole[0].tolist() == alone[0].tolist() and whole[1].tolist() == [0, 0]
-    assert whole[0, 0] < whole[0, 1] and whole[2, 0] > whole[2, 1]
+def slow_code_length(sample, text, least):
+    """Bits of a text under every language, byte by byte from counts."""
+    seen = {}
+    for x, texts in sample.items():
+        whole = b"\n\n\n".join([b"", *texts])
+        for i in range(3, len(whole)):
+            for k in range(4):
+                n = seen.setdefault(x, {}).setdefault(whole[i - k : i], {})
+                n[whole[i]] = n.get(whole[i], 0) + 1
+    retained = lambda c: len(c) < 3 or sum(sum(s.get(c, {}).values()) for s in seen.values()) >= least
+
+    def probability(counts, context, byte):
+        n = counts.get(context, {})
+        total, kinds = sum(n.values()), len(n)
+        if byte in n:
+            return n[byte] / (total + kinds)
+        return (kinds / (total + kinds) if total else 1) * (probability(counts, context[1:], byte) if context else 1 / 256)
+
+    whole, out = b"\n\n\n" + text, {}
+    for x, counts in seen.items():
+        bits = 0
+        for i in range(3, len(whole)):
+            context = whole[i - 3 : i]
+            p = probability(counts, context if retained(context) else context[1:], whole[i])
+            bits += min(32767, round(-np.log2(p) * 256))
+        out[x] = bits
+    return out
+
+
+def test_code_lengths_equal_those_of_counts():
+    r = random.Random(2)
+    for least in (1, 3):
+        sample = {x: ["".join(r.choice(letters) for _ in range(r.randint(0, 90))).encode() for _ in range(5)] for x, letters in (("a", "abcd e\n"), ("b", "cdé ü"), ("c", "日本語x"))}
+        m = langid.learn(sample, least)
+        texts = [b"", b"a", "abcdé 日本".encode(), bytes(range(256)), *(t for v in sample.values() for t in v)]
+        joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        got = langid.code_lengths(m, joined, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        for t, row in zip(texts, got.tolist(), strict=True):
+            assert dict(zip(m.langs, row)) == slow_code_length(sample, t, least)
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """Texts are taken whole, in the order of a hash, within both bounds; equal rows once; a long text alone is learned from."""
+    rows = [(k, f"text number {k} " * 5, "en") for k in range(40)] + [(3, "again", "en")] * 50 + [(k, "z" * 900, "xx") for k in range(6)] + [(99, None, "en"), (98, "no", None), (None, "no id", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {}
+    monkeypatch.setattr(langid, "learn", lambda texts: got.update(texts))
+    langid.train(df, docs_per_language=8, bytes_per_language=500)
+    mine = {t.encode() for k, t, x in rows if x == "en" and t and k is not None and zlib.crc32(str(k).encode()) % 3 != 1}
+    assert set(got) == {"en", "xx"} and set(got["en"]) <= mine and len(set(got["en"])) == len(got["en"]) <= 8
+    assert len(got["en"]) >= 4 and sum(map(len, got["en"])) <= 500 and got["xx"] == [b"z" * 900]
 
 
 def test_packing(docs, empty):
