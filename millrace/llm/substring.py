@@ -6,19 +6,20 @@ run of smallest hash, leftmost among equals - at the same place. The number of p
 minimizer of some window, counted by the minimizer's hash, is therefore never less than the number
 of occurrences of any window that has it.
 
-Pass 1: each partition sketches these places by count-min in `rows` rows of `2 ** bits` counters,
-sparsely; the sketches are merged by ranges of columns in parallel, and only one bit a counter (two
-or more, or not) is kept: at most rows * 2 ** bits / 8 bytes, whatever the input. Pass 2: windows
-whose minimizer is estimated repeated - an estimate can only be too high, so none is lost - go to an
-exact grouping by minimizer and window hash. With more input than the sketch was sized for, more
-windows go there and the result is the same.
-
-Before windows are shuffled, copies within a block of texts are known to be repeated and only the
-first of them travels, so a passage that a third of all documents share gives one row a block.
+Pass 1: each block of texts sketches these places by count-min, and the sketches are merged. A place's
+shard follows from its hash, and a shard has `ROWS` rows of `2 ** bits` counters, of which one bit each (two
+or more, or not) is kept. There is a shard for every `SHARD_PLACES` places, reckoned from the counted bytes, so a place that is
+not repeated passes by chance in about 3 % of cases whatever the input (more where places are denser than one in `PLACE_BYTES` bytes, which costs work only).
+Pass 2: windows whose minimizer is estimated repeated - an estimate can only be too high, so none is lost - go to an
+exact grouping by minimizer and window hash. Where the sketch is at most `BROADCAST` bytes it is broadcast and windows are filtered where
+they are made; a larger one stays in its shards, windows are dealt to them and filtered there.
+
+Of copies that a task meets the first two travel at most, the others are known to be repeated, so a passage that a third of all documents share gives
+two rows a task. A minimizer with more than one in `HEAVY` of the rows, by the edges of such a passage, is dealt by its single windows.
 Words are compared by 64-bit hashes of the minimizer and of the window, 128 bits together.
 
-Defined results: null and empty texts and texts of fewer words than a window lose nothing; rows
-that are repeated count as documents of their own; an empty table gives no rows; other columns are
+Defined results: null and empty texts and texts of fewer words than a window lose nothing; very long texts are blocks of their own; rows
+that are repeated count as documents of their own, and two windows of one document as two; an empty table gives no rows; other columns are
 not read.
 """
 
@@ -37,7 +38,14 @@ from millrace.llm._store import spill
 from millrace.llm._words import Block, blocks, mix, run_hashes
 
 RUN = 16
-BITS, ROWS, SHARDS = 26, 2, 64
+#: Counters of a row of a shard (as a power of two), rows, places for which there is a shard, bytes of text for which there is a place.
+BITS, ROWS, SHARD_PLACES, PLACE_BYTES = 22, 2, 800_000, 50
+#: Bytes of a sketch that is broadcast.
+BROADCAST = 64 << 20
+#: Groups of windows remembered by a task.
+REMEMBERED = 500_000
+#: Minimizers of more than one in so many rows are dealt by window: there are fewer of them.
+HEAVY = 1000
 _SEEDS = [np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x5851F42D4C957F2D)]
 
 
@@ -45,6 +53,19 @@ def _columns(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(h ^ _SEEDS[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(13)) % np.uint64(shards)).astype(np.int64)
+
+
+def _repeated(h: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
+    """Which places a shard's bitmap estimates to be repeated."""
+    ok = np.ones(len(h), dtype=bool)
+    for row in range(ROWS):
+        c = _columns(h, row, bits)
+        ok &= (sketch[(row << (bits - 3)) + (c >> 3)] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+    return ok
+
+
 def _windows(block: Block, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows in a block, grouped by minimizer place: first window, number, minimizer hash; then words and window hashes."""
     words = block.hashes()
@@ -79,71 +100,127 @@ def _windows(block: Block, window: int, run: int) -> tuple[np.ndarray, np.ndarra
     return first, number, grams[best[first]], words, every
 
 
-def repeated_columns(docs: DataFrame, window: int, run: int = RUN, bits: int = BITS) -> list[bytes]:
-    """The merged sketch: for each row a bitmap of the columns that were counted twice or more."""
+def merged_sketch(docs: DataFrame, window: int, run: int, bits: int, shards: int) -> DataFrame:
+    """shard, bits: for each shard a bitmap of its rows' counters that count two or more. Written as a table."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, block in blocks(batch):
                 h = _windows(block, window, run)[2]
+                own = _shard(h, shards) * ROWS
                 shard, columns, counts = [], [], []
                 for row in range(ROWS):
-                    c, n = np.unique(_columns(h, row, bits), return_counts=True)
-                    cuts = np.searchsorted(c, np.arange(SHARDS + 1) << (bits - SHARDS.bit_length() + 1))
-                    for s in range(SHARDS):
-                        part = slice(cuts[s], cuts[s + 1])
-                        if cuts[s] < cuts[s + 1]:
-                            shard.append(row * SHARDS + s)
-                            columns.append(c[part].astype("<u4").tobytes())
-                            counts.append(np.minimum(n[part], 2).astype("u1").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(columns, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "columns", "counts"])
+                    c, n = np.unique(((own + row) << bits) + _columns(h, row, bits), return_counts=True)
+                    which, starts = np.unique(c >> bits, return_index=True)
+                    c, n = (c & ((1 << bits) - 1)).astype("<u4"), np.minimum(n, 2).astype("u1")
+                    shard += which.tolist()
+                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
+                        columns.append(c[a:b].tobytes())
+                        counts.append(n[a:b].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(columns, pa.binary()), pa.array(counts, pa.binary())], names=["row", "columns", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << (bits - SHARDS.bit_length() + 1)
-        sums: dict[int, np.ndarray] = {}
+        at, sums = None, np.zeros(0, dtype=np.uint8)
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at // ROWS], pa.int64()), pa.array([at % ROWS], pa.int32()), pa.array([np.packbits(sums >= 2).tobytes()], pa.binary())], names=["shard", "row", "bits"])
+
         for batch in batches:
-            for shard, columns, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                have = sums.setdefault(shard, np.zeros(size, dtype=np.uint8))
-                c = np.frombuffer(columns, dtype="<u4") & (size - 1)
-                have[c] = np.minimum(have[c] + np.frombuffer(counts, dtype="u1"), 2)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(v >= 2).tobytes() for v in sums.values()], pa.binary())], names=["shard", "bits"])
+            for row, columns, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if row != at:
+                    if at is not None:
+                        yield written()
+                    at, sums = row, np.zeros(1 << bits, dtype=np.uint8)
+                c = np.frombuffer(columns, dtype="<u4")
+                sums[c] = np.minimum(sums[c] + np.frombuffer(counts, dtype="u1"), 2)
+        if at is not None:
+            yield written()
+
+    sketches = docs.select("text").mapInArrow(partial, "row bigint, columns binary, counts binary")
+    parts = max(1, min(ROWS * shards, max(2 * docs.sparkSession.sparkContext.defaultParallelism, shards // 8)))
+    rows = sketches.repartition(parts, "row").sortWithinPartitions("row").mapInArrow(merge, "shard bigint, row int, bits binary")
+    return spill(rows, "sketch")[0]
+
 
-    sketches = docs.select("text").mapInArrow(partial, "shard int, columns binary, counts binary")
-    parts = min(ROWS * SHARDS, docs.sparkSession.sparkContext.defaultParallelism * 2)
-    merged = sketches.repartition(parts, "shard").mapInArrow(merge, "shard int, bits binary").collect()  # rows * 2 ** bits / 8 bytes
-    found = {r.shard: bytes(r.bits) for r in merged}
-    blank = bytes((1 << (bits - SHARDS.bit_length() + 1)) // 8)
-    return [b"".join(found.get(row * SHARDS + s, blank) for s in range(SHARDS)) for row in range(ROWS)]
+def _in_order(found: list, size: int) -> np.ndarray:
+    """The bitmaps of a shard's rows, those that counted nothing as zeros."""
+    have = {row: data for row, data in found}
+    return np.frombuffer(b"".join(have.get(row, bytes(size)) for row in range(ROWS)), dtype=np.uint8)
+
+
+_ROWS_OF_WINDOWS = "h bigint, key bigint, at bigint, windows array<bigint>, weight bigint, mask bigint"
+
+
+def _filtered_in_shards(rows: DataFrame, sketch: DataFrame, bits: int, shards: int) -> DataFrame:
+    """The rows that their shard's sketch estimates repeated; rows and sketches are dealt by shard, the sketches first."""
+    parts = max(1, min(shards, 100_000))
+    names = ["h", "key", "at", "windows", "weight", "mask"]
+    shard = F.expr(f"cast(shiftrightunsigned(h, 13) % {shards} as bigint)")  # as in _shard
+    both = rows.withColumn("shard", shard).withColumn("kind", F.lit(ROWS)).unionByName(sketch.select("shard", F.col("row").alias("kind"), F.col("bits")), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, []
+        for batch in batches:
+            shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(shard, prepend=-1) != 0) | (kind < ROWS) | (np.diff(kind, prepend=0) != 0)).tolist()
+            for start, stop in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                if shard[start] != at:
+                    at, found = shard[start], []
+                if kind[start] < ROWS:
+                    found.append((int(kind[start]), batch.column(2)[start].as_py()))
+                    continue
+                some = batch.slice(start, stop - start)
+                ok = _repeated(some.column(3).to_numpy().view(np.uint64), _in_order(found, 1 << (bits - 3)), bits)
+                yield some.select(names).filter(pa.array(ok))
+
+    known = rows.filter("h is null")
+    dealt = both.filter("kind < %d or h is not null" % ROWS).select("shard", "kind", "bits", *names).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+    return known.unionByName(dealt.mapInArrow(run, _ROWS_OF_WINDOWS))
 
 
 def repeated_windows(docs: DataFrame, window: int, run: int = RUN, bits: int = BITS) -> DataFrame:
     """key, at, mask: of the windows that start at word `at` + i, those repeated (bit i). `docs` has key and text."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_columns(docs, window, run, bits))
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // (PLACE_BYTES * SHARD_PLACES)))
+    sketch = merged_sketch(docs, window, run, bits, shards)
+    here = shards * ROWS << (bits - 3) <= BROADCAST
+    shared = spark.sparkContext.broadcast([(r.shard, r.row, bytes(r.bits)) for r in sketch.collect()] if here else None)  # at most BROADCAST bytes
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = [np.frombuffer(x, dtype=np.uint8) for x in shared.value]
+        maps: dict[int, list] = {}
+        for shard, row, data in shared.value or []:
+            maps.setdefault(shard, []).append((row, data))
+        sketches = {shard: _in_order(found, 1 << (bits - 3)) for shard, found in maps.items()}
+        none = np.zeros(ROWS << (bits - 3), dtype=np.uint8)
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for start, stop, block in blocks(batch):
                 first, number, h, _, every = _windows(block, window, run)
-                ok = np.ones(len(h), dtype=bool)
-                for row in range(ROWS):
-                    c = _columns(h, row, bits)
-                    ok &= (sketch[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
-                first, number, h = first[ok], number[ok], h[ok]
+                if here and len(h):
+                    own, ok = _shard(h, shards), np.zeros(len(h), dtype=bool)
+                    for s in np.unique(own).tolist():
+                        ok[own == s] = _repeated(h[own == s], sketches.get(s, none), bits)
+                    first, number, h = first[ok], number[ok], h[ok]
                 doc = np.searchsorted(block.word_offsets, first, side="right") - 1
-                # groups of windows that are the same throughout: all but one stay here
+                # groups of windows that are the same throughout: the first two that a task meets travel at most
                 offsets = np.concatenate([[0], np.cumsum(number)])
                 flat = np.repeat(first - offsets[:-1], number) + np.arange(offsets[-1])
                 values = every[flat]
-                whole = np.add.reduceat(mix(values + (flat - np.repeat(first, number)).astype(np.uint64)), offsets[:-1]) if len(number) else h
-                _, once, inverse, copies = np.unique(np.stack([h, whole + number.astype(np.uint64)]), axis=1, return_index=True, return_inverse=True, return_counts=True) if len(h) else (None, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
-                many = copies[inverse.ravel()] > 1
-                travels = np.zeros(len(h), dtype=bool)
-                travels[once] = True
-                rows = np.flatnonzero(travels)
+                whole = np.add.reduceat(mix(values + (flat - np.repeat(first, number)).astype(np.uint64)), offsets[:-1]) + number.astype(np.uint64) if len(number) else h
+                _, once, inverse, copies = np.unique(np.stack([h, whole]), axis=1, return_index=True, return_inverse=True, return_counts=True) if len(h) else (None, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
+                groups = list(zip(h[once].tolist(), whole[once].tolist(), strict=True))
+                before = np.array([seen.get(g, 0) for g in groups], dtype=np.int64)
+                weight = np.where(before >= 2, 0, np.where(before == 1, 1, np.minimum(copies, 2)))
+                seen.update(zip(groups, np.minimum(before + copies, 2).tolist(), strict=True))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                many = (before + copies > 1)[inverse.ravel()]
+                travels, weights = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
+                travels[once], weights[once] = weight > 0, weight
+                rows, local = np.flatnonzero(travels), np.flatnonzero(many)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number[rows])]), pa.int32()), pa.array(values[np.repeat(travels, number)].view(np.int64)))
-                local = np.flatnonzero(many)
                 masks = (np.left_shift(np.uint64(1), number[local].astype(np.uint64)) - np.uint64(1)).view(np.int64)
                 size = len(rows), len(local)
                 yield pa.RecordBatch.from_arrays(
@@ -152,19 +229,27 @@ def repeated_windows(docs: DataFrame, window: int, run: int = RUN, bits: int = B
                         pa.array(keys[start:stop][doc[np.concatenate([rows, local])]], pa.int64()),
                         pa.array((first - block.word_offsets[doc])[np.concatenate([rows, local])], pa.int64()),
                         pa.concat_arrays([lists, pa.nulls(size[1], lists.type)]),
-                        pa.array(np.concatenate([np.where(many[rows], 2, 1), np.zeros(size[1], dtype=np.int64)]), pa.int64()),
+                        pa.array(np.concatenate([weights[rows], np.zeros(size[1], dtype=np.int64)]), pa.int64()),
                         pa.array(np.concatenate([np.zeros(size[0], dtype=np.int64), masks]), pa.int64()),
                     ],
                     names=["h", "key", "at", "windows", "weight", "mask"],
                 )
 
-    rows = docs.select("key", "text").mapInArrow(second, "h bigint, key bigint, at bigint, windows array<bigint>, weight bigint, mask bigint")
+    rows = docs.select("key", "text").mapInArrow(second, _ROWS_OF_WINDOWS)
+    if not here:
+        rows = _filtered_in_shards(spill(rows, "all-windows")[0], sketch, bits, shards)
     rows, _ = spill(rows, "windows")
     known = rows.filter("h is null").select("key", "at", "mask")
-    single = rows.filter("h is not null").repartition("h").select("h", "key", "at", "weight", F.posexplode("windows").alias("i", "w"))
+    rows = rows.filter("h is not null").select("h", "key", "at", "weight", "windows")
+    many = rows.groupBy("h").count()
+    total = rows.count()
+    heavy = many.filter(F.col("count") * HEAVY > total).select("h", F.lit(True).alias("heavy"))
+    rows = rows.join(F.broadcast(heavy), "h", "left")
+    each = [*("h", "key", "at", "weight"), F.posexplode("windows").alias("i", "w")]
     same = Window.partitionBy("h", "w")
-    found = single.withColumn("n", F.sum("weight").over(same)).filter("n >= 2")
-    return known.unionByName(found.select("key", "at", F.expr("shiftleft(1L, i)").alias("mask")))
+    light = rows.filter("heavy is null").repartition("h").select(*each)
+    found = [x.withColumn("n", F.sum("weight").over(same)).filter("n >= 2") for x in (light, rows.filter("heavy").select(*each))]
+    return known.unionByName(found[0].unionByName(found[1]).select("key", "at", F.expr("shiftleft(1L, i)").alias("mask")))
 
 
 def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -180,8 +265,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, run: int = RUN, bits: in
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    if bits < SHARDS.bit_length() + 2:
-        raise ValueError("a shard of the sketch holds whole bytes")
+    if bits < 3:
+        raise ValueError("a row of the sketch holds whole bytes")
     if not 0 <= window - run < 63:
         raise ValueError("a window is as long as a run or up to 62 words longer")
     repeated = repeated_windows(rows.select("key", "text"), window, run, bits)
