@@ -25,7 +25,7 @@ grows with the square of a group, are made only when they are read.
 Defined results: null, empty and wordless texts have empty sets and are components of their own;
 a text of fewer words than a shingle is one element; repeated rows give repeated rows; a null id
 never becomes a component's id unless all its ids are null (such components are told apart all the same); an empty table gives no rows; other
-columns are not read. Elements are compared by 64-bit hashes, sets by 64-bit sums of them.
+columns are not read; very long texts are blocks of their own. Elements are compared by 64-bit hashes, sets by 64-bit sums of them.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ REMEMBERED = 200_000
 CHUNK, CHUNK_ELEMENTS = 256, 500_000
 #: Elements by which two chunks are compared at once.
 COLUMNS = 4096
+#: One row in so many is looked at for the commonest signatures, which more than one in `COMMON` of these sets give.
+LOOKED, COMMON = 64, 200
+#: Parts that the sets of a common signature are dealt to; members of a component in a bucket that are numbered in one task.
+SALTS, NUMBERED = 64, 10_000
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +189,24 @@ def _signature_rows(docs: DataFrame, n: int, numerator: int, denominator: int) -
     return docs.select("text").mapInArrow(run, "sig bigint, digest bigint")
 
 
+def _common(docs: DataFrame, n: int, numerator: int, denominator: int) -> DataFrame:
+    """The commonest signatures of a sample of the rows: at most `COMMON` times as many as a set has. They only decide how rows are dealt."""
+    rows, _ = spill(_signature_rows(docs.filter(F.pmod("key", F.lit(LOOKED)) == 0), n, numerator, denominator).distinct(), "looked")
+    sets = rows.select("digest").distinct().count()
+    return rows.groupBy("sig").count().filter((F.col("count") > 2) & (F.col("count") * COMMON > sets)).select("sig", F.lit(True).alias("common"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (sig, root, digest) with `turn`, their number within (sig, root), without a task that sees more than about NUMBERED of one."""
+    large = rows.groupBy("sig", "root").count().withColumn("parts", F.ceil(F.col("count") / NUMBERED)).filter("parts > 1").select("sig", "root", "parts")
+    dealt = rows.join(large, ["sig", "root"], "left").withColumn("part", F.pmod(F.xxhash64("digest"), F.coalesce("parts", F.lit(1))))
+    own = F.row_number().over(Window.partitionBy("sig", "root", "part").orderBy("digest"))
+    sizes = dealt.filter("parts is not null").groupBy("sig", "root", "part").count()
+    sum_before = F.coalesce(F.sum("count").over(Window.partitionBy("sig", "root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("sig", "root", "part", sum_before.alias("before"))
+    return dealt.withColumn("own", own).join(before, ["sig", "root", "part"], "left").withColumn("turn", F.col("own") + F.coalesce("before", F.lit(0))).drop("own", "before", "part", "parts")
+
+
 def _elements(docs: DataFrame, n: int) -> DataFrame:
     """Parity bits and elements of the texts whose digest, computed anew, is the given one."""
 
@@ -344,10 +366,13 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("key", _key("doc_id", "text"))
     sets, _ = spill(_sets(rows, n), "sets")
 
-    # buckets of two or more different sets, sorted by signature and set
-    order = Window.partitionBy("sig").orderBy("digest")
-    near = _signature_rows(rows, n, numerator, denominator).select("sig", "digest", F.lag("digest").over(order).alias("before"), F.lead("digest").over(order).alias("next"))
-    buckets, bucket_path = spill(near.filter("before <> digest or next <> digest").select("sig", "digest"), "buckets")
+    # buckets of two or more different sets, sorted by signature and set; those of common signatures are dealt by set too and kept unseen
+    common = _common(rows, n, numerator, denominator)
+    given = _signature_rows(rows, n, numerator, denominator).join(F.broadcast(common), "sig", "left")
+    given = given.withColumn("salt", F.when(F.col("common"), F.pmod("digest", F.lit(SALTS))).otherwise(0))
+    order = Window.partitionBy("sig", "salt").orderBy("digest")
+    near = given.select("sig", "digest", "common", F.lag("digest").over(order).alias("before"), F.lead("digest").over(order).alias("next"))
+    buckets, bucket_path = spill(near.filter("before <> digest or next <> digest or (common and before is null)").select("sig", "digest"), "buckets")
     clean_shuffles(spark)
     # linked sets share more than CORE signatures: sets that share fewer with all others together leave
     enough = buckets.distinct().groupBy("digest").count().filter(F.col("count") > CORE).select("digest")
@@ -404,8 +429,9 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     fits &= (denominator + numerator) * F.least("shared", "hub_shared") >= numerator * (F.col("n") + F.col("hub_n"))
 
     # first round: each set and the hub it shares most signatures with
-    first = Window.partitionBy("sig").orderBy((F.col("shared") / F.col("n")).desc(), "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = live.select("digest", "n", "shared", F.first("digest").over(first).alias("hub"), F.first("n").over(first).alias("hub_n"), F.first("shared").over(first).alias("hub_shared")).filter((F.col("hub") != F.col("digest")) & fits)
+    first = live.groupBy("sig").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("own"), "digest", "n", "shared")).alias("first"))
+    first = first.select("sig", F.col("first.digest").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.shared").alias("hub_shared"))
+    star = live.join(first, "sig").filter((F.col("hub") != F.col("digest")) & fits)
     best = star.groupBy("digest", "hub").agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n")).groupBy("digest").agg(F.max_by(F.struct("hub", "hub_n", "n"), "count").alias("best"))
     compared, _ = linked(best.select(F.col("best.hub").alias("a"), F.col("digest").alias("b"), F.col("best.hub_n").alias("na"), F.col("best.n").alias("nb")))
     links = compared.filter("ok").select("a", "b")
@@ -416,9 +442,9 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
         placed = live.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
         # rows of buckets that still hold several components; those taken as hubs before are gone
         several = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
-        ranked = placed.join(several, "sig").withColumn("turn", F.row_number().over(Window.partitionBy("sig", "root").orderBy("digest")))
-        ranked, ranked_path = spill(ranked.select("sig", "digest", "n", "shared", "root", "turn"), "live")
-        discard(spark, live_path)
+        open_, open_path = spill(placed.join(several, "sig").select("sig", "digest", "n", "shared", "root"), "live")
+        ranked, ranked_path = spill(_numbered(open_).select("sig", "digest", "n", "shared", "root", "turn"), "live")
+        discard(spark, live_path, open_path)
         if ranked.isEmpty():
             discard(spark, ranked_path)
             break

@@ -83,6 +83,8 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     """A group of more than two different near copies: each pair links or doesn't by itself, connected or not."""
     monkeypatch.setattr(jaccard, "CHUNK", 4)  # pairs within and between chunks
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    monkeypatch.setattr(jaccard, "LOOKED", 2)  # signatures of a group are common
+    monkeypatch.setattr(jaccard, "NUMBERED", 2)
     r = random.Random(5)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
     rows = [(i, " ".join("e%d" % i if w in (7 * i % 120, 3 * i % 120) else x for w, x in enumerate(base))) for i in range(14)]
@@ -209,7 +211,14 @@ def test_resample_keeps_a_tone():
     assert len(y) == 6000 and np.abs(y - want)[100:-100].max() < 4
 
 
-def test_substrings(docs, empty):
+def test_substrings(spark, docs, empty, monkeypatch):
+    """With a sketch that is sized, far too small and far too large, broadcast and in shards; hot minimizers and none."""
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**6)}"
+    hot = [word() for _ in range(40)]
+    more = [(100 + i, " ".join([word() for _ in range(25)] + hot + [word() for _ in range(25)])) for i in range(30)]
+    more += [(200, " ".join(hot * 5)), (201, " ".join(hot[:35])), (202, " ".join(hot[3:]))]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string")).repartition(3)
     rows = data(docs)
     count = {}
     words = [WORD.findall(t) for _, t in rows]
@@ -220,9 +229,11 @@ def test_substrings(docs, empty):
     for (k, _), w in zip(rows, words, strict=True):
         gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
         want.append((k, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
-    for bits in (10, 20):  # a full sketch loses nothing either
+    for bits, places, at_most, heavy in ((22, 800_000, 64 << 20, 1000), (4, 100, 64 << 20, 20), (12, 50, 0, 20)):
+        for name, value in (("SHARD_PLACES", places), ("BROADCAST", at_most), ("HEAVY", heavy)):
+            monkeypatch.setattr(substring, name, value)
         assert sorted(map(tuple, substring.dedup_substrings(docs, bits=bits).collect()), key=repr) == sorted(want, key=repr)
-    assert substring.dedup_substrings(empty, bits=10).count() == 0
+        assert substring.dedup_substrings(empty, bits=bits).count() == 0
 
 
 def test_urls(spark):
