@@ -15,7 +15,8 @@ exact grouping by minimizer and window hash. Where the sketch is at most `BROADC
 they are made; a larger one stays in its shards, windows are dealt to them and filtered there.
 
 Of copies that a task meets the first two travel at most, the others are known to be repeated, so a passage that a third of all documents share gives
-two rows a task. A minimizer with more than one in `HEAVY` of the rows, by the edges of such a passage, is dealt by its single windows.
+two rows a task. A minimizer with more than one in `HEAVY` of the rows, by the edges of such a passage, is dealt by its single windows, of which
+the commonest are known to be repeated from their counts alone.
 Words are compared by 64-bit hashes of the minimizer and of the window, 128 bits together.
 
 Defined results: null and empty texts and texts of fewer words than a window lose nothing; very long texts are blocks of their own; rows
@@ -44,7 +45,8 @@ BITS, ROWS, SHARD_PLACES, PLACE_BYTES = 22, 2, 800_000, 50
 BROADCAST = 64 << 20
 #: Groups of windows remembered by a task.
 REMEMBERED = 500_000
-#: Minimizers of more than one in so many rows are dealt by window: there are fewer of them.
+#: Minimizers of more than one in so many rows are dealt by window: there are fewer of them, and of their windows
+#: with as many rows no more than this times the windows of a place.
 HEAVY = 1000
 _SEEDS = [np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x5851F42D4C957F2D)]
 
@@ -246,10 +248,15 @@ def repeated_windows(docs: DataFrame, window: int, run: int = RUN, bits: int = B
     heavy = many.filter(F.col("count") * HEAVY > total).select("h", F.lit(True).alias("heavy"))
     rows = rows.join(F.broadcast(heavy), "h", "left")
     each = [*("h", "key", "at", "weight"), F.posexplode("windows").alias("i", "w")]
-    same = Window.partitionBy("h", "w")
-    light = rows.filter("heavy is null").repartition("h").select(*each)
-    found = [x.withColumn("n", F.sum("weight").over(same)).filter("n >= 2") for x in (light, rows.filter("heavy").select(*each))]
-    return known.unionByName(found[0].unionByName(found[1]).select("key", "at", F.expr("shiftleft(1L, i)").alias("mask")))
+    light, single = rows.filter("heavy is null").repartition("h").select(*each), rows.filter("heavy").select(*each)
+    # windows with so many rows themselves are repeated; the rest of their minimizers is dealt by window
+    hot = single.groupBy("h", "w").count().filter((F.col("count") > 1) & (F.col("count") * HEAVY > total)).select("h", "w", F.lit(True).alias("hot"))
+    single = single.join(F.broadcast(hot), ["h", "w"], "left")
+    same = F.sum("weight").over(Window.partitionBy("h", "w"))
+    found = [x.withColumn("n", same).filter("n >= 2").select("key", "at", "i") for x in (light, single.filter("hot is null"))]
+    found.append(single.filter("hot").select("key", "at", "i"))
+    found = found[0].unionByName(found[1]).unionByName(found[2])
+    return known.unionByName(found.select("key", "at", F.expr("shiftleft(1L, i)").alias("mask")))
 
 
 def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
