@@ -54,6 +54,15 @@ def _walk(spark: SparkSession, node: JavaObject) -> Iterator[JavaObject]:
         yield from subqueries(e)
 
 
+def walk_with_parent(spark: SparkSession, node: JavaObject, above: JavaObject | None = None) -> Iterator[tuple[JavaObject, JavaObject | None]]:
+    """Each node with its parent; subqueries stand under none."""
+    yield node, above
+    for child in _seq(node.children()):
+        yield from walk_with_parent(spark, child, node)
+    for e in _seq(node.subqueries()):
+        yield from walk_with_parent(spark, e)
+
+
 def parse(spark: SparkSession, sql: str) -> tuple[str, JavaObject]:
     """The query in Spark's dialect and its unresolved plan; refuses everything that is not one read-only query."""
     text = (sql or "").strip()

@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import wraps
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -17,8 +18,8 @@ from millrace.errors import MillraceError
 from millrace.functions.names import check_name, fnv1a64
 from millrace.operators.load import Target, load
 from millrace.operators.preview import Preview, preview
-from millrace.plans.cache import Alias, plan_cache
-from millrace.plans.gate import Lineage, lineage, parse
+from millrace.plans.cache import Alias, plan_cache, reachable
+from millrace.plans.gate import Lineage, lineage, parse, walk_with_parent
 from millrace.plans.output import MODES, POLICIES, VALIDATION, OutputPlan, check_options, plan_output
 from millrace.sources import delta
 
@@ -59,7 +60,7 @@ class Table:
         """A fresh DataFrame each time, so that what is kept meanwhile is used."""
         if self.name:
             return self.session.spark.table(self.name)
-        return self.session._plan(self.sql) if self.sql else self.df_
+        return self.session._pruned(self.sql, self.lineage) if self.sql else self.df_
 
     @property
     def label(self) -> str:
@@ -110,7 +111,7 @@ class Session:
                 self.spark.conf.set(SCAN[k], v)
         self.default_target, self.progress = default_target, progress
         self.tables: dict[str, Table] = {}
-        self._next, self._lock = 1, threading.RLock()
+        self._next, self._lock, self._keeping = 1, threading.RLock(), False
 
     def _tell(self, operation: str, phase: str, kind: str, **facts: object) -> None:
         if self.progress:
@@ -174,6 +175,38 @@ class Session:
         df = self._plan(text)
         return Table(self, self._id(), "derived", None, sql=text, lineage=lineage(self.spark, plan), df_=df)
 
+    def _pruned(self, sql: str, of: Lineage | None) -> DataFrame:
+        """The planned query, in which snapshots list only files whose statistics in the log allow rows that its filters pass.
+
+        The filters are those that Catalyst has pushed to each scan. The views behind the query are planned anew over the
+        shorter lists and then put back.
+        """
+        df = self._plan(sql)
+        names = reachable(of.tables, {n: Alias(n, t.lineage.tables) for n, t in self.tables.items() if t.lineage}) if of else set()
+        behind = sorted((self.tables[n] for n in names if n in self.tables), key=lambda t: t.id)
+        shorter = {}
+        if not self._keeping:
+            sources = [t for t in behind if t.snapshot and any(f.get("stats") for f in t.snapshot.files)]
+            found = scan_filters(self.spark, df) if sources else []
+            for t in sources:
+                uses = [filters for files, filters in found if files & {f["url"].rsplit("/", 1)[1] for f in t.snapshot.files}]
+                urls = {f["url"] for filters in uses for f in delta.pruned(t.snapshot.files, filters)}
+                if uses and len(urls) < len(t.snapshot.files):
+                    shorter[t.name] = t.snapshot.of(self.spark, [f for f in t.snapshot.files if f["url"] in urls])
+        if not shorter:
+            return df
+        try:
+            for name, part in shorter.items():
+                part.createOrReplaceTempView(name)
+            for t in behind:
+                if t.sql:
+                    self._plan(t.sql).createOrReplaceTempView(t.name)
+            return self._plan(sql)
+        finally:
+            for t in behind:
+                if t.sql or t.name in shorter:
+                    t.df_.createOrReplaceTempView(t.name)
+
     @_exclusive
     def _alias(self, t: Table, name: str) -> Table:
         if t.session is not self:
@@ -255,6 +288,7 @@ class Session:
         kept: list[DataFrame] = []
         reports: list[dict] = []
         try:
+            self._keeping = bool(chosen.selected)  # what is kept is found by its plan, so plans stay as they are
             for name in chosen.selected:
                 df = self.spark.table(name).persist(StorageLevel.MEMORY_AND_DISK)
                 kept.append(df)
@@ -276,6 +310,7 @@ class Session:
                 reports.append(report)
                 self._tell("write_all", "output", "finished", output=o.name, status=report["status"])
         finally:
+            self._keeping = False
             for df in kept:
                 df.unpersist()
         return {"run_mode": "execute", "outputs": reports, "cache": {"mode": chosen.mode, "selected": chosen.selected, "covered": chosen.covered, "skipped": chosen.skipped}, "sources": self.source_report(outputs), "not_applicable": self.not_applicable}
@@ -291,6 +326,26 @@ class Session:
         return {**plan.facts(), "status": "succeeded", "rows_streamed": seen.get["n"], "rows_written": 0}
 
 
+def scan_filters(spark: SparkSession, df: DataFrame) -> list[tuple[set[str], list]]:
+    """For each file scan of the optimized plan: the names of its files, and the filters right above it that sources understand."""
+    out: list[tuple[set[str], list]] = []
+    strategy = spark._jvm.org.apache.spark.sql.execution.datasources.DataSourceStrategy
+
+    def conjuncts(e: JavaObject) -> list:
+        return [*conjuncts(e.left()), *conjuncts(e.right())] if e.nodeName() == "And" else [e]
+
+    for node, above in walk_with_parent(spark, df._jdf.queryExecution().optimizedPlan()):
+        if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        filters = []
+        if above is not None and above.getClass().getSimpleName() == "Filter":
+            for e in conjuncts(above.condition()):
+                if (f := strategy.translateFilter(e, False)).isDefined():
+                    filters.append(f.get())
+        out.append(({str(x).rsplit("/", 1)[1] for x in node.relation().location().inputFiles()}, filters))
+    return out
+
+
 def operators(df: DataFrame) -> list[dict]:
     """Physical operators in pre-order with ids and parents, and the metrics Spark has for them."""
     out: list[dict] = []

@@ -2,8 +2,10 @@
 
 The log is replayed with DataFrames: the last checkpoint at or before the version and the commits
 after it. Only the list of live files comes to the driver, as every scan needs it there. Partition
-values come from the log, columns mapped by name are read by their physical names (a mapping by id is rejected), deletion vectors are decoded on the executors and anti-joined by file and
-row number.
+values come from the log and are given to Spark's own file relation, so that it prunes partitions, also dynamically; the
+log's statistics prune files for a query's filters (`may_match`). Columns mapped by name are read by their physical names
+(a mapping by id is rejected). Deletion vectors are decoded on the executors and anti-joined by file and
+row number, with the files that have one only, and by broadcast if the log states few deleted rows.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import urllib.parse
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -30,8 +34,10 @@ from millrace.errors import MillraceError, clean
 #: Reader features that are understood.
 FEATURES = ["columnMapping", "deletionVectors", "timestampNtz", "typeWidening", "typeWidening-preview", "v2Checkpoint", "vacuumProtocolCheck"]
 _DV = "struct<storageType:string,pathOrInlineDv:string,offset:int,sizeInBytes:int,cardinality:bigint>"
+#: Deleted rows, as the log counts them, up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 _ACTIONS = (
-    f"add struct<path:string,partitionValues:map<string,string>,size:bigint,deletionVector:{_DV}>,"
+    f"add struct<path:string,partitionValues:map<string,string>,size:bigint,stats:string,deletionVector:{_DV}>,"
     f"remove struct<path:string,deletionVector:{_DV}>,"
     "metaData struct<schemaString:string,partitionColumns:array<string>,configuration:map<string,string>>,"
     "protocol struct<minReaderVersion:int,readerFeatures:array<string>>,"
@@ -49,6 +55,11 @@ class Snapshot:
     features: list[str]
     files: list
     df: DataFrame
+    mapped: bool = False
+
+    def of(self, spark: SparkSession, files: list) -> DataFrame:
+        """The rows of some of the files."""
+        return _scan(spark, self.uri.rstrip("/"), self.schema, self.partition_columns, files, self.mapped)
 
     def facts(self) -> dict:
         return {"uri": clean(self.uri), "version": self.version, "files": len(self.files), "bytes": sum(f["size"] or 0 for f in self.files), "reader_version": self.reader_version, "features": self.features}
@@ -240,7 +251,7 @@ def load(spark: SparkSession, uri: str, version: int | None = None) -> Snapshot:
     for f in found:
         path = urllib.parse.unquote(f["path"])
         f["url"] = path if re.match(r"[a-z0-9+.-]+://|/", path) else f"{root}/{path}"
-    return Snapshot(uri, last, schema, parts, protocol["minReaderVersion"], features, found, _scan(spark, root, schema, parts, found, mapped))
+    return Snapshot(uri, last, schema, parts, protocol["minReaderVersion"], features, found, _scan(spark, root, schema, parts, found, mapped), mapped)
 
 
 def _widened(logical: T.StructType, schema: T.StructType) -> list[str]:
@@ -261,6 +272,91 @@ def _by_types(spark: SparkSession, stored: T.StructType, widened: list[str], url
     return list(found.values())
 
 
+def may_match(f: JavaObject, stats: dict) -> bool:
+    """Whether rows of a file with these statistics of the log can satisfy a data source filter. Unknown counts as yes."""
+    kind = f.getClass().getSimpleName()
+    if kind == "And":
+        return may_match(f.left(), stats) and may_match(f.right(), stats)
+    if kind == "Or":
+        return may_match(f.left(), stats) or may_match(f.right(), stats)
+    if kind not in ("EqualTo", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "In", "IsNull", "IsNotNull"):
+        return True
+    name = f.attribute()
+    low, high = (stats.get(k, {}).get(name) for k in ("minValues", "maxValues"))
+    rows, nulls = stats.get("numRecords"), stats.get("nullCount", {}).get(name)
+    if kind == "IsNull":
+        return nulls != 0
+    if rows is not None and rows == nulls:
+        return False
+    if kind == "IsNotNull":
+        return True
+    values = list(f.values()) if kind == "In" else [f.value()]
+    if low is None or high is None or not all(_comparable(v, low) and _comparable(v, high) for v in values):
+        return True
+    if kind in ("EqualTo", "In"):
+        return any(low <= v <= high for v in values)
+    (v,) = values
+    return {"GreaterThan": high > v, "GreaterThanOrEqual": high >= v, "LessThan": low < v, "LessThanOrEqual": low <= v}[kind]
+
+
+def _comparable(value: object, bound: object) -> bool:
+    """Whole numbers and decimals, and strings; floating-point bounds may leave NaN out, and dates are given otherwise."""
+    number = lambda x: isinstance(x, (int, Decimal)) and not isinstance(x, bool)
+    return number(value) and number(bound) or isinstance(value, str) and isinstance(bound, str)
+
+
+def pruned(files: list, filters: list[JavaObject]) -> list:
+    """The files of which rows can satisfy all filters."""
+    return [f for f in files if not f.get("stats") or all(may_match(x, json.loads(f["stats"], parse_float=Decimal)) for x in filters)]
+
+
+def _relation(spark: SparkSession, stored: T.StructType, parts: T.StructType, files: list) -> DataFrame | None:
+    """Spark's file relation over just these files with the partition values of the log.
+
+    None if files of one folder have different values, which Spark's relation can't say.
+    """
+    folders: dict[str, tuple] = {}
+    for f in files:
+        values = tuple((f["partitionValues"] or {}).get(c) or None for c in parts.names)
+        if folders.setdefault(f["url"].rsplit("/", 1)[0], values) != values:
+            return None
+    jvm, session = spark._jvm, spark._jsparkSession
+    sources, utils = jvm.org.apache.spark.sql.execution.datasources, jvm.org.apache.spark.api.python.PythonUtils
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path
+    table = spark.createDataFrame([(i, *v) for i, v in enumerate(folders.values())], T.StructType([T.StructField("i", T.LongType())] + [T.StructField(c, T.StringType()) for c in parts.names]))
+    rows = table.orderBy("i").select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in parts])._jdf.queryExecution().executedPlan().executeCollect()
+    paths = [path(u) for u in folders]
+    listed = [sources.PartitionPath(r, p.getFileSystem(conf).makeQualified(p)) for r, p in zip(rows, paths, strict=True)]
+    kind = lambda t: session.parseDataType(t.json())
+    option, none = jvm.scala.Option.apply, utils.toScalaMap(jvm.java.util.HashMap())
+    no_cache = getattr(getattr(sources, "NoopCache$"), "MODULE$")
+    every = jvm.java.util.ArrayList()
+    for f in files:
+        every.add(path(f["url"]))
+    specs = jvm.java.util.ArrayList()
+    for x in listed:
+        specs.add(x)
+    index = sources.InMemoryFileIndex(session, utils.toSeq(every), none, option(kind(stored)), no_cache, option(sources.PartitionSpec(kind(parts), utils.toSeq(specs))), option(None))
+    made = sources.HadoopFsRelation(index, kind(parts), kind(stored), option(None), sources.parquet.ParquetFileFormat(), none, session)
+    return DataFrame(session.baseRelationToDataFrame(made), spark)
+
+
+_FILE = r"^[a-z0-9+.-]+:/+"
+
+
+def _by_file(spark: SparkSession, stored: T.StructType, parts: T.StructType, files: list) -> DataFrame:
+    """The same for files whose folders don't tell their values: these are joined by file, from a table of the log's size."""
+    df = spark.read.schema(stored).parquet(*[f["url"] for f in files])
+    df = df.select(*[F.col(f"`{f.name}`") for f in stored], _file_name(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = [(re.sub(_FILE, "/", f["url"]), *((f["partitionValues"] or {}).get(c) or None for c in parts.names)) for f in files]
+    table = spark.createDataFrame(rows, T.StructType([T.StructField("_file", T.StringType())] + [T.StructField(c, T.StringType()) for c in parts.names]))
+    return df.join(table.select("_file", *[F.col(f"`{f.name}`").cast(f.dataType) for f in parts]), "_file", "left")
+
+
+def _file_name(c: Column) -> Column:
+    return F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), _FILE, "/")
+
+
 def _scan(spark: SparkSession, root: str, schema: T.StructType, parts: list[str], files: list, mapped: bool = False) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
@@ -269,29 +365,23 @@ def _scan(spark: SparkSession, root: str, schema: T.StructType, parts: list[str]
         schema = _physical(logical)
         parts = [p.name for f, p in zip(logical, schema, strict=True) for c in parts if f.name == c]
     stored = T.StructType([f for f in schema if f.name not in parts])
-    groups: dict[tuple, list[str]] = {}
-    for f in files:
-        groups.setdefault(tuple((f["partitionValues"] or {}).get(c) for c in parts), []).append(f["url"])
-    gone = _deleted(spark, root, files)
-    # one scan whatever the number of partitions: their values are joined by file, from a table of the log's size
-    urls = [u for urls in groups.values() for u in urls]
-    name = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), r"^[a-z0-9+.-]+:/+", "/")
-    place = [name(F.col("_metadata.file_path")).alias("_file")] if gone is not None or (parts and len(groups) > 1) else []
-    place += [F.col("_metadata.row_index").alias("_row")] if gone is not None else []
+    apart = T.StructType([schema[c] for c in parts])
     df = None
-    for own, some in _by_types(spark, stored, _widened(logical, schema), urls):
-        part = spark.read.schema(own).parquet(*some)
-        part = part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in stored], *place)
-        df = part if df is None else df.unionByName(part)
-    if gone is not None:
-        gone = gone.withColumn("_file", F.regexp_replace("_file", r"^[a-z0-9+.-]+:/+", "/"))
-        df = df.join(gone, ["_file", "_row"], "left_anti")
-    if parts and len(groups) == 1:
-        (values,) = groups
-        for c, v in zip(parts, values, strict=True):
-            df = df.withColumn(c, F.lit(v).cast(schema[c].dataType))
-    elif parts:
-        rows = [(re.sub(r"^[a-z0-9+.-]+:/+", "/", u), *values) for values, urls in groups.items() for u in urls]
-        table = spark.createDataFrame(rows, T.StructType([T.StructField("_file", T.StringType())] + [T.StructField(c, T.StringType()) for c in parts]))
-        df = df.join(table, "_file", "left")
+    for masked in (False, True):
+        some = [f for f in files if bool(f["deletionVector"]) == masked]
+        by_url = {f["url"]: f for f in some}
+        gone = _deleted(spark, root, some) if masked and some else None
+        for own, urls in _by_types(spark, stored, _widened(logical, schema), list(by_url)) if some else []:
+            group = [by_url[u] for u in urls]
+            if (part := _relation(spark, own, apart, group)) is not None:
+                place = [_file_name(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row")]
+                part = part.select("*", *place) if masked else part
+            else:
+                part = _by_file(spark, own, apart, group)
+            if gone is not None:
+                deleted = sum(f["deletionVector"]["cardinality"] or 0 for f in group)
+                hidden = gone.withColumn("_file", F.regexp_replace("_file", _FILE, "/"))
+                part = part.join(F.broadcast(hidden) if 0 < deleted <= BROADCAST_ROWS else hidden, ["_file", "_row"], "left_anti")
+            part = part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+            df = part if df is None else df.unionByName(part)
     return df.select(*[F.col(f"`{p.name}`").cast(f.dataType).alias(f.name) for f, p in zip(logical, schema, strict=True)])
