@@ -37,7 +37,7 @@ def reachable(start: Sequence[str], aliases: Mapping[str, Alias]) -> set[str]:
     return seen
 
 
-def plan_cache(mode: str | Sequence[str], outputs: Sequence[Sequence[str]], aliases: Mapping[str, Alias]) -> CachePlan:
+def plan_cache(mode: str | Sequence[str], outputs: Sequence[Sequence[str]], aliases: Mapping[str, Alias], known: Sequence[bool] | None = None) -> CachePlan:
     """outputs: the tables each output reads directly (an output that is an alias reads just that).
 
     auto: of the aliases that two or more outputs share, those not behind another one shared by the
@@ -54,7 +54,6 @@ def plan_cache(mode: str | Sequence[str], outputs: Sequence[Sequence[str]], alia
             return CachePlan("auto", skipped="fewer_than_two_outputs")
         above = {n: {m for m in eligible if m != n and n in reachable([m], aliases)} for n in eligible}
         frontier = [n for n in eligible if not any(shared[m] == shared[n] for m in above[n])]
-        # an alias that stays beside one that reads it would be computed in between: only independent or all-covering ones
         chosen = sorted(frontier, key=lambda n: aliases[n].order)
         return CachePlan("auto", chosen, sorted(set(eligible) - set(chosen)), None if chosen else "nothing_shared")
     names = [n.lower() for n in mode]
@@ -68,7 +67,10 @@ def plan_cache(mode: str | Sequence[str], outputs: Sequence[Sequence[str]], alia
         if n not in eligible:
             raise MillraceError("plan_cache", "not_eligible", f"{n} is not shared by two outputs with known lineage")
     for n in names:
-        behind = reachable([n], aliases)
-        if any(not aliases[m].complete for m in behind if m in aliases):
-            raise MillraceError("plan_cache", "not_replayable", f"{n} reads a table whose lineage is unknown")
+        # whatever stands between an output and the alias is planned anew over it, so all of it must be known
+        between = {m for use in uses if n in use for m in use if m in aliases and m != n and n in reachable([m], aliases)}
+        behind = {m for m in reachable([n], aliases) if m in aliases}
+        lost = sorted(m for m in between | behind if not aliases[m].complete)
+        if lost or known and not all(known[i] for i in shared[n]):
+            raise MillraceError("plan_cache", "not_replayable", f"{n} can't be kept: the lineage of {lost[0] if lost else 'an output'} is unknown")
     return CachePlan("explicit", sorted(names, key=lambda n: aliases[n].order))

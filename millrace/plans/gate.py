@@ -8,13 +8,15 @@ from dataclasses import dataclass, field
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.errors import MillraceError
-from millrace.functions.dialect import to_spark
+from millrace.functions.dialect import operator_place, to_spark
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
-_REFUSED = ("Command", "ParsedStatement", "InsertIntoStatement", "InsertIntoDir")
+_REFUSED = ("Command", "ParsedStatement", "InsertIntoStatement", "InsertIntoDir", "ScriptTransformation")
+#: Functions that call Java methods by name.
+_CALLS = {"reflect", "java_method", "try_reflect"}
 
 
 @dataclass
@@ -83,9 +85,50 @@ def parse(spark: SparkSession, sql: str) -> tuple[str, JavaObject]:
     for node in _walk(spark, plan):
         if any(c.isInstance(node) for c in classes):
             raise MillraceError("validate_sql", "not_read_only", f"only queries are allowed, not {node.nodeName()}")
+        for e in _seq(node.expressions()):
+            for name in _functions(e):
+                if name.lower() in _CALLS:
+                    raise MillraceError("validate_sql", "not_allowed", f"the function {name} is not allowed")
     return text, plan
 
 
+def _functions(e: JavaObject) -> Iterator[str]:
+    if e.getClass().getSimpleName() == "UnresolvedFunction":
+        yield list(_seq(e.nameParts()))[-1]
+    for c in _seq(e.children()):
+        yield from _functions(c)
+
+
+def check_tables(found: Lineage, known: set[str]) -> None:
+    """Every table must be registered: files, other catalogs and views of the application are out of reach."""
+    for name in [*found.unknown, *found.tables]:
+        if name.lower() not in known:
+            raise MillraceError("plan_sql", "unknown_table", f"no table {name} is registered")
+
+
+def whole_division(spark: SparkSession, text: str, df: DataFrame) -> str:
+    """The text with `/` between whole numbers as `div`: the analyzed plan tells their types and where each operator stands."""
+    found = []
+    for node in _walk(spark, df._jdf.queryExecution().analyzed()):
+        todo = list(_seq(node.expressions()))
+        while todo:
+            e = todo.pop()
+            todo += _seq(e.children())
+            if e.getClass().getSimpleName() == "Divide" and all(_from_whole(x) for x in (e.left(), e.right())):
+                at = e.origin()
+                if at.sqlText().isDefined() and at.sqlText().get() == text and at.startIndex().isDefined() and at.stopIndex().isDefined():
+                    found += operator_place(text, at.startIndex().get(), at.stopIndex().get() + 1)
+    for place in sorted(set(found), reverse=True):
+        text = f"{text[:place]} div {text[place + 1 :]}"
+    return text
+
+
+def _from_whole(e: JavaObject) -> bool:
+    """Whether analysis has made a fraction of a whole number here."""
+    whole = ("byte", "short", "integer", "long")
+    return e.getClass().getSimpleName() == "Cast" and e.dataType().typeName() == "double" and e.child().dataType().typeName() in whole
+
+
 def lineage(spark: SparkSession, plan: JavaObject) -> Lineage:
     """What the query reads. Names of common table expressions hide catalog names."""
     out = Lineage()

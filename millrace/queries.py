@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import pandas_udf
 
+from millrace import session_queries, snapshot_queries
 from millrace.session import Session
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -35,7 +38,7 @@ SQL: dict[str, str] = {
     "d8_filter": "SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus IN ('F', 'O') AND NOT o_totalprice < 1000) OR o_orderpriority IS NULL",
     "d9_in_subquery": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "d10_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
-    "d10_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "d10_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
     "d10_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
     "d10_correlated": "SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice >= (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "d10_like_between": "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%STEEL%' OR p_size BETWEEN 10 AND 15",
@@ -44,7 +47,7 @@ SQL: dict[str, str] = {
     "d13_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "d14_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
     "d15_left_conjunct": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",
-    "d16_anti_by_left": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL",
+    "d16_anti_by_left": "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey WHERE o_orderkey IS NULL",
     "d17_right": "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey",
     "d17_full": "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey",
     "d17_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
@@ -86,6 +89,42 @@ SQL: dict[str, str] = {
     "g_conditional": "SELECT p_partkey, coalesce(nullif(p_size, 10), -1) AS c, greatest(p_size, 20) AS g, least(p_size, 20) AS l FROM part",
     "g_distinct_from": "SELECT p_partkey FROM part WHERE nullif(p_size, 10) IS DISTINCT FROM 20",
     "g_event_rollup": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('hour', ts), event_type",
+    "d10_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    "d17_natural": "SELECT n_nationkey, n_name, n_regionkey FROM nation NATURAL JOIN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3) x",
+    "d17_semi": "SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) o ON c_custkey = o_custkey",
+    "d17_anti": "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) o ON c_custkey = o_custkey",
+    "d17_range": "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_size BETWEEN s_nationkey AND s_nationkey + 1 AND p_partkey <= 200",
+    "d17_hints": "SELECT /*+ MERGE(orders) */ o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    "d23_collecting": "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names, count(DISTINCT substring(n_name, 1, 1)) AS letters FROM nation GROUP BY n_regionkey",
+    "d23_string_agg": "SELECT n_regionkey, string_agg(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    "d23_array_agg": "SELECT o_custkey, array_size(array_agg(o_orderkey)) AS n, sort_array(array_agg(o_orderkey))[0] AS least FROM orders GROUP BY o_custkey",
+    "d23_more_statistics": "SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sp, round(var_samp(l_quantity), 5) AS vs, round(covar_pop(l_quantity, l_tax), 7) AS cp, regr_count(l_tax, l_quantity) AS rc, round(regr_intercept(l_tax, l_quantity), 8) AS ri, round(regr_r2(l_tax, l_quantity), 8) AS r2 FROM lineitem GROUP BY l_returnflag",
+    "d23_percentile": "SELECT l_returnflag, percentile(l_quantity, 0.25) AS q1, percentile(l_quantity, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag",
+    "d23_distinct_sum": "SELECT l_returnflag, sum(DISTINCT l_linenumber) AS s, count_if(l_quantity > 40) AS many, bit_xor(l_linenumber) AS x, any_value(l_returnflag) AS a FROM lineitem GROUP BY l_returnflag",
+    "d23_approximate": "SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.15 * count(DISTINCT o_custkey) AS near, abs(percentile_approx(o_totalprice, 0.5, 10000) - median(o_totalprice)) <= 0.02 * median(o_totalprice) AS middle FROM orders",
+    "d26_qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
+    "d26_qualify_alias": "SELECT n_regionkey, max(n) AS most FROM (SELECT n_regionkey, n_name, rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS n FROM nation WHERE n_nationkey > 1 QUALIFY n <= 3 AND n_name <> 'qualify') x GROUP BY n_regionkey",
+    "d30_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
+    "d30_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 4",
+    "e2_division": "SELECT p_partkey, p_size / 7 AS q, (p_size + 1) / (p_size / 3 + 1) AS n, p_size / 4.0D AS f, '/' AS s, p_retailprice / p_size AS u FROM part",
+    "e1_whole_division": "SELECT p_partkey, p_size div 7 AS q, p_size % 7 AS r, p_size / 4.0D AS f FROM part",
+    "e7_float_literal": "SELECT o_orderkey FROM orders WHERE CAST(o_totalprice AS float) > 150000.5 AND o_totalprice <> 3.3",
+    "e8_nested": "SELECT c_custkey, x.a AS a, x.b[1] AS b FROM (SELECT c_custkey, named_struct('a', c_nationkey, 'b', array(c_name, c_mktsegment)) AS x FROM customer) y",
+    "e9_current": "SELECT current_date() >= date '2020-01-01' AS d, current_timestamp() IS NOT NULL AS t FROM region",
+    "g_arrays": "SELECT n_nationkey, array_contains(a, 3) AS c, array_size(a) AS n, array_max(a) AS m, array_join(array_distinct(a), '-') AS d, element_at(a, 2) AS e, array_join(slice(a, 2, 2), ',') AS s, aggregate(a, 0L, (x, y) -> x + y) AS t, array_join(transform(a, x -> x * 2), ',') AS f, array_join(filter(a, x -> x > 2), ',') AS g FROM (SELECT n_nationkey, array(1L, n_nationkey, n_regionkey, 3L) AS a FROM nation) x",
+    "g_array_sets": "SELECT n_nationkey, array_join(sort_array(array_union(a, b)), ',') AS u, array_join(sort_array(array_intersect(a, b)), ',') AS i, array_join(sort_array(array_except(a, b)), ',') AS e, arrays_overlap(a, b) AS o, array_position(a, 2) AS p FROM (SELECT n_nationkey, array(1, 2, n_regionkey) AS a, array(2, 4) AS b FROM nation) x",
+    "g_explode": "SELECT n_nationkey, x FROM nation LATERAL VIEW explode(sequence(1, n_regionkey + 1)) t AS x",
+    "g_maps": "SELECT n_nationkey, m['name'] AS a, array_join(map_keys(m), ',') AS k, size(m) AS n, map_contains_key(m, 'none') AS c FROM (SELECT n_nationkey, map('name', n_name, 'region', CAST(n_regionkey AS string)) AS m FROM nation) x",
+    "g_json": "SELECT n_nationkey, get_json_object(j, '$.name') AS name, CAST(get_json_object(j, '$.region') AS int) AS region, json_array_length('[1, 2, 3]') AS n, from_json(j, 'name string, region int').region + 1 AS next FROM (SELECT n_nationkey, to_json(named_struct('name', n_name, 'region', n_regionkey)) AS j FROM nation) x",
+    "g_hashes": "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s, typeof(c_custkey) = 'bigint' AS t, try_cast(c_name AS int) IS NULL AS n FROM customer",
+    "g_regex": "SELECT p_partkey, regexp_like(p_type, '^[A-Z]+ ') AS l, regexp_extract(p_type, '([A-Z]+)$', 1) AS e, regexp_replace(p_brand, '[0-9]', 'x') AS r, regexp_count(p_type, 'E') AS c, p_type RLIKE 'STEEL|TIN' AS k FROM part",
+    "g_more_strings": "SELECT c_custkey, initcap('aB cd') AS i, concat_ws('-', c_mktsegment, 'x') AS w, split_part(c_name, '#', 2) AS p, rpad(c_mktsegment, 12, '.') AS r, right(c_name, 4) AS e, translate(c_mktsegment, 'ABC', 'abc') AS t, position('U' IN c_mktsegment) AS o, startswith(c_name, 'Cust') AS s, ascii(c_mktsegment) AS a, octet_length('é') AS b, c_mktsegment ILIKE 'b%' AS k, ltrim('  x') AS y, rtrim('x  ') AS z, contains(c_name, '1') AS v FROM customer",
+    "g_more_dates": "SELECT o_orderkey, date_add(CAST(o_orderdate AS date), 5) AS a, datediff(CAST(o_orderdate AS date), date '1995-01-01') AS n, quarter(o_orderdate) AS q, last_day(CAST(o_orderdate AS date)) AS l, hour(o_orderdate) AS h, dayofyear(o_orderdate) AS y, weekofyear(o_orderdate) AS w, to_date('2020-02-03') AS t, date_format(o_orderdate, 'yyyy-MM') AS f, add_months(CAST(o_orderdate AS date), 1) AS m FROM orders",
+    "g_more_math": "SELECT p_partkey, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(cbrt(p_size), 8) AS b, round(log10(p_size + 1), 8) AS l, round(sin(p_size), 8) AS s, round(atan2(p_size, 2), 8) AS t, round(degrees(1.0D), 8) AS d, pmod(-p_size, 7) AS m, factorial(5) AS k, round(pi(), 8) AS p, p_size & 7 AS x, p_size | 8 AS o, isnan(p_retailprice) AS n, round(log2(p_size + 1), 8) AS g FROM part",
+    "g_more_conditional": "SELECT p_partkey, ifnull(nullif(p_size, 10), -1) AS i, nvl2(nullif(p_size, 10), 1, 0) AS n, if(p_size > 20, 'a', 'b') AS f, p_size <=> 10 AS e, try_divide(p_retailprice, 0) IS NULL AS t FROM part",
+    "g_windows_more": "SELECT o_orderkey, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, sum(o_orderkey) OVER (PARTITION BY o_custkey) AS a, max(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders",
+    "g_pivot": "SELECT * FROM (SELECT l_returnflag AS f, l_linestatus AS s, l_linenumber AS n FROM lineitem) PIVOT (count(n) FOR s IN ('O' AS open_lines, 'F' AS filled))",
+    "g_subquery_select": "SELECT r_regionkey, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n, (SELECT max(n_name) FROM nation) AS top FROM region",
 }
 
 #: Where the oracle spells it otherwise.
@@ -93,6 +132,31 @@ ORACLE: dict[str, str] = {
     "d5_generate_series": "SELECT generate_series AS n FROM generate_series(1, 20)",
     "d11_cte_shadow": "WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 100000) SELECT k FROM o",
     "g_math": SQL["g_math"].replace("sign(p_size - 20)", "CAST(sign(p_size - 20) AS double)"),
+    "d17_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)",
+    "d17_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)",
+    "d23_collecting": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, count(DISTINCT substring(n_name, 1, 1)) AS letters FROM nation GROUP BY n_regionkey",
+    "d23_string_agg": "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    "d23_array_agg": "SELECT o_custkey, count(*)::int AS n, min(o_orderkey) AS least FROM orders GROUP BY o_custkey",
+    "d23_percentile": "SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag",
+    "d23_approximate": "SELECT true AS near, true AS middle",
+    "e2_division": "SELECT p_partkey, p_size / 7 AS q, (p_size + 1) / (p_size / 3 + 1) AS n, p_size / 4.0D AS f, '/' AS s, p_retailprice / p_size AS u FROM part",
+    "e1_whole_division": "SELECT p_partkey, (p_size // 7)::bigint AS q, p_size % 7 AS r, p_size / 4.0 AS f FROM part",
+    "e2_division": "SELECT p_partkey, (p_size // 7)::bigint AS q, ((p_size + 1) // (p_size // 3 + 1))::bigint AS n, p_size / 4.0 AS f, '/' AS s, p_retailprice / p_size AS u FROM part",
+    "e8_nested": "SELECT c_custkey, c_nationkey AS a, c_mktsegment AS b FROM customer",
+    "e9_current": "SELECT true AS d, true AS t FROM region",
+    "g_arrays": "SELECT n_nationkey, list_contains(a, 3) AS c, len(a)::int AS n, list_max(a) AS m, array_to_string([x FOR x, i IN a IF list_position(a, x) = i], '-') AS d, a[2] AS e, array_to_string(a[2:3], ',') AS s, list_sum(a)::bigint AS t, array_to_string([x * 2 FOR x IN a], ',') AS f, array_to_string([x FOR x IN a IF x > 2], ',') AS g FROM (SELECT n_nationkey, [1::bigint, n_nationkey, n_regionkey, 3] AS a FROM nation) x",
+    "g_array_sets": "SELECT n_nationkey, array_to_string(list_sort(list_distinct(a || b)), ',') AS u, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ',') AS i, array_to_string(list_sort(list_distinct([x FOR x IN a IF NOT list_contains(b, x)])), ',') AS e, list_has_any(a, b) AS o, list_position(a, 2)::bigint AS p FROM (SELECT n_nationkey, [1, 2, n_regionkey] AS a, [2, 4] AS b FROM nation) x",
+    "g_explode": "SELECT n_nationkey, unnest(generate_series(1, n_regionkey + 1))::int AS x FROM nation",
+    "g_maps": "SELECT n_nationkey, n_name AS a, 'name,region' AS k, 2 AS n, false AS c FROM nation",
+    "g_json": "SELECT n_nationkey, n_name AS name, n_regionkey AS region, 3 AS n, n_regionkey + 1 AS next FROM nation",
+    "g_hashes": "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, true AS t, true AS n FROM customer",
+    "g_regex": "SELECT p_partkey, regexp_matches(p_type, '^[A-Z]+ ') AS l, regexp_extract(p_type, '([A-Z]+)$', 1) AS e, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS r, length(p_type) - length(replace(p_type, 'E', '')) AS c, regexp_matches(p_type, 'STEEL|TIN') AS k FROM part",
+    "g_more_strings": "SELECT c_custkey, 'Ab Cd' AS i, concat_ws('-', c_mktsegment, 'x') AS w, split_part(c_name, '#', 2) AS p, rpad(c_mktsegment, 12, '.') AS r, right(c_name, 4) AS e, translate(c_mktsegment, 'ABC', 'abc') AS t, position('U' IN c_mktsegment)::int AS o, starts_with(c_name, 'Cust') AS s, ascii(c_mktsegment) AS a, 2 AS b, c_mktsegment ILIKE 'b%' AS k, 'x' AS y, 'x' AS z, contains(c_name, '1') AS v FROM customer",
+    "g_more_dates": "SELECT o_orderkey, o_orderdate::date + 5 AS a, (o_orderdate::date - date '1995-01-01')::int AS n, quarter(o_orderdate)::int AS q, last_day(o_orderdate::date) AS l, hour(o_orderdate)::int AS h, dayofyear(o_orderdate)::int AS y, weekofyear(o_orderdate)::int AS w, date '2020-02-03' AS t, strftime(o_orderdate, '%Y-%m') AS f, (o_orderdate::date + INTERVAL 1 MONTH)::date AS m FROM orders",
+    "g_more_math": "SELECT p_partkey, ceil(p_retailprice)::bigint AS c, floor(p_retailprice)::bigint AS f, round(cbrt(p_size), 8) AS b, round(log10(p_size + 1), 8) AS l, round(sin(p_size), 8) AS s, round(atan2(p_size, 2), 8) AS t, round(degrees(1.0), 8) AS d, ((-p_size % 7) + 7) % 7 AS m, 120::bigint AS k, round(pi(), 8) AS p, p_size & 7 AS x, p_size | 8 AS o, isnan(p_retailprice) AS n, round(log2(p_size + 1), 8) AS g FROM part",
+    "g_more_conditional": "SELECT p_partkey, ifnull(nullif(p_size, 10), -1) AS i, CASE WHEN p_size = 10 THEN 0 ELSE 1 END AS n, CASE WHEN p_size > 20 THEN 'a' ELSE 'b' END AS f, p_size IS NOT DISTINCT FROM 10 AS e, true AS t FROM part",
+    "g_pivot": "SELECT l_returnflag AS f, nullif(count(l_linenumber) FILTER (WHERE l_linestatus = 'O'), 0) AS open_lines, nullif(count(l_linenumber) FILTER (WHERE l_linestatus = 'F'), 0) AS filled FROM lineitem GROUP BY 1",
+    "d17_hints": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
 }
 
 
@@ -128,12 +192,38 @@ def planned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, c["name"], c["type"]) for i, c in enumerate(columns)], "position int, name string, target string")
 
 
+def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of the user (E10, E11): scalar and aggregate ones over Arrow batches, and one that returns tables."""
+
+    @pandas_udf("bigint")
+    def odd(x: pd.Series) -> pd.Series:
+        return x * 2 + 1
+
+    @pandas_udf("double")
+    def total(x: pd.Series) -> float:
+        return float(x.sum())
+
+    class Twice:
+        def eval(self, n: int):
+            yield n, "first"
+            yield n, "second"
+
+    s = session(spark, sf_dir, ["nation"])
+    s.register_function("odd", odd)
+    s.register_function("total_of", total)
+    s.register_function("twice", Twice, "n int, word string")
+    s.table_from_sql("SELECT n_regionkey, total_of(odd(n_nationkey)) AS total FROM nation GROUP BY n_regionkey").alias("totals")
+    s.table_from_sql("SELECT n_regionkey, count(t.word) AS words FROM nation, LATERAL twice(n_nationkey) t GROUP BY n_regionkey").alias("words")
+    return s.table_from_sql("SELECT n_regionkey, total, words FROM totals JOIN words USING (n_regionkey)").df
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(sql) for name, sql in SQL.items()} | {"a14_layered": layered, "b7_planned_output": planned_output}
+    return {name: _query(sql) for name, sql in SQL.items()} | {"a14_layered": layered, "b7_planned_output": planned_output, "e10_functions": functions} | snapshot_queries.queries() | session_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | ORACLE | {
+    return SQL | ORACLE | snapshot_queries.oracle_sql() | session_queries.oracle_sql() | {
+        "e10_functions": "SELECT n_regionkey, sum(n_nationkey * 2 + 1)::double AS total, count(*) * 2 AS words FROM nation GROUP BY n_regionkey",
         "a14_layered": "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
         "b7_planned_output": "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_orderstatus', 'nvarchar(max)'), (2, 'o_totalprice', 'float'), (3, 'o_date', 'date')) t(position, name, target)",
     }

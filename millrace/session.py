@@ -10,22 +10,34 @@ from dataclasses import dataclass
 from functools import wraps
 
 from py4j.java_gateway import JavaObject
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udf, udtf
 from pyspark.storagelevel import StorageLevel
 
-from millrace.errors import MillraceError
+from millrace.errors import MillraceError, clean
 from millrace.functions.names import check_name, fnv1a64
-from millrace.operators.load import Target, load
+from millrace.logs import event
+from millrace.operators.load import Target, load, observed
 from millrace.operators.preview import Preview, preview
 from millrace.plans.cache import Alias, plan_cache, reachable
-from millrace.plans.gate import Lineage, lineage, parse, walk_with_parent
+from millrace.plans.gate import Lineage, check_tables, lineage, parse, walk_with_parent, whole_division
 from millrace.plans.output import MODES, POLICIES, VALIDATION, OutputPlan, check_options, plan_output
 from millrace.sources import delta
 
-#: Scan options that Spark has settings for; the others are checked and reported as not applicable.
+#: Scan options that Spark has settings for.
 SCAN = {"max_partition_bytes": "spark.sql.files.maxPartitionBytes", "min_partitions": "spark.sql.files.minPartitionNum", "open_cost_bytes": "spark.sql.files.openCostInBytes"}
 
+#: Scan options of native readers, checked and reported as not applicable.
+READER = [
+    "max_concurrent_file_reads_per_scan",
+    "max_concurrent_file_reads_per_partition",
+    "output_buffer_capacity_per_partition",
+    "native_async_prefetch_file_count_per_partition",
+    "parquet_metadata_size_hint",
+    "parquet_full_file_read_threshold",
+]
+
 
 def _exclusive(f: Callable) -> Callable:
     """One thread at a time may change a session; another one gets an error at once."""
@@ -94,10 +106,16 @@ class Output:
 
 
 class Session:
-    def __init__(self, spark: SparkSession, *, default_target: Target | None = None, target_partitions: int | None = None, output_batch_size: int | None = None, scan_options: Mapping[str, int] | None = None, schema_options: Mapping | None = None, validation_options: Mapping | None = None, progress: Callable[[dict], None] | None = None):
+    def __init__(self, spark: SparkSession, *, default_target: Target | None = None, target_partitions: int | None = None, output_batch_size: int | None = None, scan_options: Mapping[str, int] | None = None, schema_options: Mapping | None = None, validation_options: Mapping | None = None, progress: Callable[[dict], None] | None = None, integer_division: str = "whole"):
         for k, v in (("target_partitions", target_partitions), ("output_batch_size", output_batch_size), *(scan_options or {}).items()):
             if v is not None and (not isinstance(v, int) or isinstance(v, bool) or v <= 0):
                 raise MillraceError("configure", "invalid_option", f"{k} must be a positive integer", option=k)
+        for k in scan_options or {}:
+            if k not in SCAN and k not in READER:
+                raise MillraceError("configure", "unknown_option", f"unknown scan option {k}", option=k)
+        if integer_division not in ("whole", "fraction"):
+            raise MillraceError("configure", "invalid_option", "integer_division is whole or fraction", option="integer_division")
+        self.integer_division = integer_division
         self.schema_options = check_options(schema_options, POLICIES)
         self.validation = check_options(validation_options, VALIDATION)
         self.spark = spark.newSession()
@@ -114,8 +132,9 @@ class Session:
         self._next, self._lock, self._keeping = 1, threading.RLock(), False
 
     def _tell(self, operation: str, phase: str, kind: str, **facts: object) -> None:
+        told = event(operation, phase, kind, **facts)
         if self.progress:
-            self.progress({"operation": operation, "phase": phase, "kind": kind, **facts})
+            self.progress(told)
 
     def _id(self) -> int:
         self._next += 1
@@ -172,8 +191,22 @@ class Session:
     def table_from_sql(self, sql: str) -> Table:
         """A lazy table from one read-only query; it is planned, and no row is read."""
         text, plan = parse(self.spark, sql)
+        found = lineage(self.spark, plan)
+        check_tables(found, set(self.tables))
         df = self._plan(text)
-        return Table(self, self._id(), "derived", None, sql=text, lineage=lineage(self.spark, plan), df_=df)
+        while self.integer_division == "whole" and "/" in text and (whole := whole_division(self.spark, text, df)) != text:
+            text, df = whole, self._plan(whole)  # a division around one that was a fraction may be one of whole numbers now
+        return Table(self, self._id(), "derived", None, sql=text, lineage=found, df_=df)
+
+    @_exclusive
+    def register_function(self, name: str, f: Callable | type, returns: str | None = None, deterministic: bool = True) -> None:
+        """A function for this session's queries: a Python or pandas function, scalar or aggregate, or a class with eval() that returns tables."""
+        check_name(name)
+        if isinstance(f, type):
+            self.spark.udtf.register(name, udtf(f, returnType=returns))
+            return
+        made = f if hasattr(f, "evalType") else udf(f, returns or "string")
+        self.spark.udf.register(name, made if deterministic else made.asNondeterministic())
 
     def _pruned(self, sql: str, of: Lineage | None) -> DataFrame:
         """The planned query, in which snapshots list only files whose statistics in the log allow rows that its filters pass.
@@ -284,7 +317,8 @@ class Session:
         targets = [None if stream_only else self._target(o) for o in outputs]
         aliases = {n: Alias(n, t.lineage.tables, not (t.lineage.unknown or t.lineage.incomplete), t.id) for n, t in self.tables.items() if t.kind == "derived"}
         reads = [[o.source.name.lower()] if o.source.name else o.source.lineage.tables if o.source.lineage else [] for o in outputs]
-        chosen = plan_cache(cache, reads, aliases)
+        known = [not (o.source.lineage and (o.source.lineage.unknown or o.source.lineage.incomplete)) for o in outputs]
+        chosen = plan_cache(cache, reads, aliases, known)
         kept: list[DataFrame] = []
         reports: list[dict] = []
         try:
@@ -299,14 +333,14 @@ class Session:
                     reports.append({**plan.facts(), "status": "skipped", "reason": "previous_output_failed"})
                     continue
                 self._tell("write_all", "output", "started", output=o.name)
-                began = time.time()
+                began, before = time.time(), last_execution(self.spark) if profile else -1
                 try:
-                    report = self._streamed(o, plan) if stream_only else load(o.source.df, plan, target, self.schema_options, self.validation["target_validation_mode"])
+                    report = self._streamed(o, plan) if stream_only else load(o.source.df, observed(o.source.df, plan, self.schema_options), target, self.schema_options, self.validation["target_validation_mode"])
                 except MillraceError as e:
-                    report = {**plan.facts(), "status": "failed", "error": {"phase": e.phase, "kind": e.kind, "message": e.message}}
+                    report = {**getattr(e, "report", plan.facts()), "status": "failed", "error": {"phase": e.phase, "kind": e.kind, "message": e.message}}
                 report["seconds"] = time.time() - began
                 if profile:
-                    report["profile"] = operators(o.source.df)
+                    report["profile"] = operators(self.spark, before)
                 reports.append(report)
                 self._tell("write_all", "output", "finished", output=o.name, status=report["status"])
         finally:
@@ -322,14 +356,17 @@ class Session:
         from millrace.plans.output import shaped
 
         seen = Observation("rows")
-        shaped(o.source.df, plan, self.schema_options).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        try:
+            shaped(o.source.df, plan, self.schema_options).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        except PySparkException as e:
+            raise MillraceError("run_query", "query_failed", f"{type(e).__name__}: {str(e)[:300]}") from e
         return {**plan.facts(), "status": "succeeded", "rows_streamed": seen.get["n"], "rows_written": 0}
 
 
 def scan_filters(spark: SparkSession, df: DataFrame) -> list[tuple[set[str], list]]:
     """For each file scan of the optimized plan: the names of its files, and the filters right above it that sources understand."""
     out: list[tuple[set[str], list]] = []
-    strategy = spark._jvm.org.apache.spark.sql.execution.datasources.DataSourceStrategy
+    strategy = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.datasources, "DataSourceStrategy$"), "MODULE$")
 
     def conjuncts(e: JavaObject) -> list:
         return [*conjuncts(e.left()), *conjuncts(e.right())] if e.nodeName() == "And" else [e]
@@ -346,22 +383,41 @@ def scan_filters(spark: SparkSession, df: DataFrame) -> list[tuple[set[str], lis
     return out
 
 
-def operators(df: DataFrame) -> list[dict]:
-    """Physical operators in pre-order with ids and parents, and the metrics Spark has for them."""
-    out: list[dict] = []
+def last_execution(spark: SparkSession) -> int:
+    """The number of the last query that has started."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return max((listed.apply(i).executionId() for i in range(listed.size())), default=-1)
 
-    def walk(node, parent: int | None) -> None:
-        me = len(out)
-        metrics, it = {}, node.metrics().iterator()
-        while it.hasNext():
-            kv = it.next()
-            metrics[kv._1()] = int(kv._2().value())
-        out.append({"id": me, "parent": parent, "operator": node.nodeName(), "metrics": metrics})
-        it = node.children().iterator()
-        while it.hasNext():
-            walk(it.next(), me)
-
-    walk(df._jdf.queryExecution().executedPlan(), None)
+
+def operators(spark: SparkSession, after: int) -> list[dict]:
+    """Operators of the queries that ran after a number, from their final plans: pre-order, with ids, parents and metrics."""
+    newest = last_execution(spark)
+    store = spark._jsparkSession.sharedState().statusStore()
+    out: list[dict] = []
+    for execution in range(after + 1, newest + 1):
+        if store.execution(execution).isEmpty():
+            continue
+        graph, values = store.planGraph(execution), store.executionMetrics(execution)
+        nodes, children, below = {}, {}, set()
+        every = graph.allNodes()
+        for i in range(every.size()):
+            if not every.apply(i).getClass().getSimpleName().endswith("Cluster"):
+                nodes[every.apply(i).id()] = every.apply(i)
+        for i in range(graph.edges().size()):
+            e = graph.edges().apply(i)
+            children.setdefault(e.toId(), []).append(e.fromId())
+            below.add(e.fromId())
+        todo = [(n, None) for n in sorted(set(nodes) - below, reverse=True)]
+        while todo:
+            n, parent = todo.pop()
+            metrics = {}
+            for i in range(nodes[n].metrics().size()):
+                m = nodes[n].metrics().apply(i)
+                if (v := values.get(m.accumulatorId())).isDefined():
+                    metrics[clean(m.name())] = {"kind": m.metricType(), "value": v.get()}
+            out.append({"id": len(out), "parent": parent, "execution": execution, "operator": clean(nodes[n].name().strip()), "metrics": metrics})
+            todo += [(c, len(out) - 1) for c in sorted(children.get(n, []), reverse=True)]
     return out
 
 
@@ -374,8 +430,10 @@ def object_store(uri: str, options: Mapping[str, str], environment: Mapping[str,
         return {}
     merged = {k.lower().removeprefix("aws_"): v for k, v in env.items() if k.startswith("AWS_")} | {k.lower().removeprefix("aws_"): v for k, v in options.items()}
     region = merged.get("region") or merged.get("default_region")
-    known = {"access_key_id": "fs.s3a.access.key", "secret_access_key": "fs.s3a.secret.key", "session_token": "fs.s3a.session.token", "endpoint": "fs.s3a.endpoint", "endpoint_url": "fs.s3a.endpoint"}
-    return {known[k]: v for k, v in merged.items() if k in known} | ({"fs.s3a.endpoint.region": region} if region else {})
+    known = {"access_key_id": "access.key", "secret_access_key": "secret.key", "session_token": "session.token", "endpoint": "endpoint", "endpoint_url": "endpoint"}
+    # settings of the one bucket: a second source with other keys doesn't change the first
+    own = f"fs.s3a.bucket.{host}" if scheme in ("s3", "s3a") else "fs.s3a"
+    return {f"{own}.{known[k]}": v for k, v in merged.items() if k in known} | ({f"{own}.endpoint.region": region} if region else {})
 
 
 def auth_mode(settings: Mapping[str, str]) -> str:

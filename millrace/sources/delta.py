@@ -34,6 +34,8 @@ from millrace.errors import MillraceError, clean
 #: Reader features that are understood.
 FEATURES = ["columnMapping", "deletionVectors", "timestampNtz", "typeWidening", "typeWidening-preview", "v2Checkpoint", "vacuumProtocolCheck"]
 _DV = "struct<storageType:string,pathOrInlineDv:string,offset:int,sizeInBytes:int,cardinality:bigint>"
+#: Fixed value: the digits of base 85.
+Z85 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.-:+=^!/*?&<>()[]{}@%$#"
 #: Deleted rows, as the log counts them, up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
 _ACTIONS = (
@@ -147,12 +149,11 @@ def _aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def z85(text: str) -> bytes:
-    alphabet = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.-:+=^!/*?&<>()[]{}@%$#"
     out = b""
     for i in range(0, len(text), 5):
         value = 0
         for c in text[i : i + 5]:
-            value = value * 85 + alphabet.index(c)
+            value = value * 85 + Z85.index(c)
         out += struct.pack(">I", value)
     return out
 

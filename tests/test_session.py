@@ -128,7 +128,7 @@ def test_names():
 
 
 def test_gate_and_lineage(session):
-    for sql, k in (("", "empty_sql"), ("select 1; select 2", "parse_error"), ("drop table x", "not_read_only"), ("insert into orders values (1)", "not_read_only"), ("set a=b", "not_read_only"), ("explain select 1", "not_read_only"), ("select * from nowhere", "plan_error"), ("selec 1", "parse_error")):
+    for sql, k in (("", "empty_sql"), ("select 1; select 2", "parse_error"), ("drop table x", "not_read_only"), ("insert into orders values (1)", "not_read_only"), ("set a=b", "not_read_only"), ("explain select 1", "not_read_only"), ("select * from nowhere", "unknown_table"), ("select * from parquet.`/tmp`", "unknown_table"), ("select java_method('a', 'b')", "not_allowed"), ("select nothing from orders", "plan_error"), ("selec 1", "parse_error")):
         assert kind(session.table_from_sql, sql) == k, sql
     t = session.table_from_sql("with orders as (select * from customers) select * from orders where id in (select id from customers)")
     assert t.lineage.tables == ["customers"] and t.lineage.local == ["orders"]
@@ -205,9 +205,79 @@ def test_loads(session, tmp_path):
     assert strict.write(strict.table_from_sql("select id from x").to_target("APP", "T3", "replace"))["error"]["kind"] == "validation_required"
 
 
+def test_reports_of_loads(session, tmp_path, monkeypatch):
+    target = JdbcTarget(session.spark, f"jdbc:derby:{tmp_path}/db;create=true", "derby", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    s = Session(session.spark, default_target=target, schema_options={"string_policy": "observed_nvarchar"}, validation_options={"target_validation_mode": "require"})
+    s.register("orders", s.spark.createDataFrame([(1, "west"), (2, "a")], "id int, region string"))
+    t = s.table_from_sql("select * from orders")
+    done = s.write_all([t.to_target("APP", "T", "create_and_load")], profile=True)["outputs"][0]
+    assert [p["phase"] for p in done["phases"]] == ["probe_target", "check_schema", "prepare_target", "write_rows", "count_after", "validate_rows"]
+    assert done["columns"][1]["type"] == "nvarchar(4)" and done["validation"] == "passed" and done["rows_in"] == 2
+    profile = done["profile"]
+    assert len(profile) > 1 and any(p["metrics"] for p in profile) and all(p["parent"] is None or p["parent"] < p["id"] for p in profile)
+    monkeypatch.setattr(target, "count", lambda *a: 1 / 0)
+    lost = s.write(t.to_target("APP", "T2", "create_and_load"))
+    assert lost["status"] == "failed" and lost["error"]["kind"] == "count_unavailable" and not target.exists("APP", "T2") and lost["phases"][-1]["phase"] == "cleanup"
+    loose = Session(session.spark, default_target=target)
+    loose.register("x", loose.spark.range(3))
+    assert loose.write(loose.table_from_sql("select id from x").to_target("APP", "T3", "create_and_load"))["validation"] == "unavailable"
+    broken = loose.write(loose.table_from_sql("select assert_true(id < 2), id from x").to_target("APP", "T4", "create_and_load"))
+    assert broken["status"] == "failed"
+    bad = loose.write(loose.table_from_sql("select id div (id - 2) as id from x").to_target("APP", "T3"))
+    assert bad["rows_written"] == "unavailable" and bad["partial_write_possible"]
+
+
+def test_a_changed_schema_stops_a_load(session):
+    from millrace.operators.load import schema_differences
+    from millrace.plans.output import POLICIES, check_options, plan_output
+
+    df = session.spark.range(1).selectExpr("id", "'x' as name")
+    plan = plan_output(df, "o", "a", "b", "append_existing", check_options(None, POLICIES))
+    assert schema_differences(df, plan) == [] and len(schema_differences(df.selectExpr("cast(id as int) as id", "name"), plan)) == 1
+    assert len(schema_differences(session.spark.range(1).selectExpr(*[f"id as c{i}" for i in range(40)]), plan)) <= 16
+
+
+def test_replay_of_explicit_caches():
+    a = {"base": Alias("base", ["orders"], order=1), "lost": Alias("lost", ["base"], False, 2)}
+    assert kind(plan_cache, ["base"], [["lost"], ["base"]], a) == "not_replayable"
+    assert kind(plan_cache, ["base"], [["base"], ["base"]], a, [True, False]) == "not_replayable"
+    assert plan_cache(["base"], [["base"], ["base"]], a, [True, True]).selected == ["base"]
+
+
+def test_qualify():
+    from millrace.functions.dialect import qualify
+
+    assert qualify("select a from t qualify x = 1 order by a") == "SELECT * EXCEPT (__qualifies) FROM (SELECT a, (x = 1) AS __qualifies from t) WHERE __qualifies order by a"
+    assert qualify("select distinct f(a, (select 1 from u)) as b from t where c in (1) qualify 'qualify' <> b") == "SELECT DISTINCT * EXCEPT (__qualifies) FROM (SELECT f(a, (select 1 from u)) as b, ('qualify' <> b) AS __qualifies from t where c in (1)) WHERE __qualifies "
+    assert qualify("select 1 -- qualify") == "select 1 -- qualify"
+    assert kind(qualify, "qualify x") == "parse_error"
+
+
+def test_division(session):
+    assert session.table_from_sql("select 7 / 2 as a, 7.0D / 2 as b, (id + 8) / 4 as c from orders where id = 1").df.first()[:] == (3, 3.5, 2)
+    exact = Session(session.spark, integer_division="fraction")
+    assert exact.table_from_sql("select 7 / 2 as a").df.first().a == 3.5
+    assert kind(Session, session.spark, scan_options={"other": 1}) == "unknown_option" and kind(Session, session.spark, integer_division="x") == "invalid_option"
+
+
+def test_logging(session, caplog, monkeypatch):
+    from millrace import logs
+
+    logs.init_logging("debug")
+    seen = []
+    s = Session(session.spark, progress=seen.append)
+    s.register("x", s.spark.range(3))
+    s.write_all([s.table_from_sql("select id from x").to_target("a", "b")], stream_only=True)
+    assert [r.getMessage() for r in caplog.records if r.name == "millrace"] == ["write_all output started", "write_all output finished"] and len(seen) == 2
+    monkeypatch.setenv(logs.VARIABLE, "error")
+    assert logs.init_logging("debug") and not logs.init_logging("info")
+    with pytest.raises(ValueError):
+        logs.event("other", "output", "started")
+
+
 def test_object_store_settings():
     env = {"AWS_REGION": "e", "AWS_ACCESS_KEY_ID": "k", "OTHER": "1"}
-    assert object_store("s3://b/p", {"region": "own"}, env) == {"fs.s3a.access.key": "k", "fs.s3a.endpoint.region": "own"} and object_store("/tmp/x", {}, env) == {}
+    assert object_store("s3://b/p", {"region": "own"}, env) == {"fs.s3a.bucket.b.access.key": "k", "fs.s3a.bucket.b.endpoint.region": "own"} and object_store("/tmp/x", {}, env) == {}
     assert auth_mode({"AWS_ACCESS_KEY_ID": "a", "aws_secret_access_key": "b"}) == "static" and auth_mode({}) == "implicit"
 
 
