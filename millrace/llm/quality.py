@@ -158,5 +158,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are not rejected, as they are."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return scored(packed).filter("_q_kept").select("row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return scored(packed, "row.text").filter("_q_kept").select("row.*")
