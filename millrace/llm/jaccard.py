@@ -48,6 +48,8 @@ LIGHT = 2
 CORE = 4
 #: 64-bit words of a set's parity bits.
 PARITY = 24
+#: The same of sets of more than LONG elements, whose differences would fill the others.
+WIDE, LONG = 192, 1000
 #: Buckets that a set's rows list.
 LISTED = 32
 _SUM = np.uint64(0x2545F4914F6CDD1D)
@@ -59,6 +61,8 @@ CHUNK, CHUNK_ELEMENTS = 256, 500_000
 COLUMNS = 4096
 #: One row in so many is looked at for the commonest signatures, which more than one in `COMMON` of these sets give.
 LOOKED, COMMON = 64, 200
+#: Parts in which elements are counted, one after another, so that each shuffles its share only.
+TILES = 4
 #: Parts that the sets of a common signature are dealt to; members of a component in a bucket that are numbered in one task.
 SALTS, NUMBERED = 64, 10_000
 
@@ -90,18 +94,18 @@ def digests(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
 
 
-def parities(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each set, whether each of 64 * PARITY cells holds an odd number of elements, as bits.
+def parities(grams: np.ndarray, offsets: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """For each set, whether each of 64 * words cells holds an odd number of elements, as bits.
 
     Two sets differ in no fewer elements than these bits.
     """
-    docs = len(offsets) - 1
-    if docs > 512:  # bounded memory for many short texts
-        cuts = range(0, docs, 512)
-        return np.concatenate([parities(grams[offsets[c] : offsets[min(docs, c + 512)]], offsets[c : min(docs, c + 512) + 1] - offsets[c]) for c in cuts])
-    cell = (mix(grams + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % (64 * PARITY)
-    counts = np.bincount(np.repeat(np.arange(docs), np.diff(offsets)) * (64 * PARITY) + cell, minlength=docs * 64 * PARITY)
-    bits = np.packbits((counts & 1).astype(np.uint8).reshape(docs, 64 * PARITY), axis=1)
+    docs, some = len(offsets) - 1, 12_288 // words
+    if docs > some:  # bounded memory for many short texts
+        cuts = range(0, docs, some)
+        return np.concatenate([parities(grams[offsets[c] : offsets[min(docs, c + some)]], offsets[c : min(docs, c + some) + 1] - offsets[c], words) for c in cuts])
+    cell = (mix(grams + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % (64 * words)
+    counts = np.bincount(np.repeat(np.arange(docs), np.diff(offsets)) * (64 * words) + cell, minlength=docs * 64 * words)
+    bits = np.packbits((counts & 1).astype(np.uint8).reshape(docs, 64 * words), axis=1)
     return np.ascontiguousarray(bits).view(np.int64)
 
 
@@ -214,9 +218,18 @@ def _elements(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for start, stop, block in blocks(batch, lower=True):
                 grams, offsets = shingle_sets(block, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.FixedSizeListArray.from_arrays(pa.array(parities(grams, offsets).ravel()), PARITY).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))], names=["digest", "parity", "elements"]).filter(pc.equal(batch.column(0).slice(start, stop - start), pa.array(digests(grams, offsets).view(np.int64))))
+                long = np.diff(offsets) > LONG
+                wide = parities(grams[np.repeat(long, np.diff(offsets))], np.concatenate([[0], np.cumsum(np.diff(offsets)[long])]), WIDE).ravel() if long.any() else np.zeros(0, dtype=np.int64)
+                given = batch.column(0).slice(start, stop - start)
+                columns = [
+                    given,
+                    pa.FixedSizeListArray.from_arrays(pa.array(parities(grams, offsets).ravel()), PARITY).cast(pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long * WIDE)]), pa.int32()), pa.array(wide)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "parity", "wide", "elements"]).filter(pc.equal(given, pa.array(digests(grams, offsets).view(np.int64))))
 
-    return docs.select("digest", "text").mapInArrow(run, "digest bigint, parity array<bigint>, elements array<bigint>")
+    return docs.select("digest", "text").mapInArrow(run, "digest bigint, parity array<bigint>, wide array<bigint>, elements array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -394,9 +407,16 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
         Parity bits go first: they prove most pairs that don't link to be too different, at a tenth of the bytes.
         """
         at_most = F.floor((denominator - numerator) * (F.col("na") + F.col("nb")) / (denominator + numerator))
-        left, right = (elements.select(F.col("digest").alias(x), F.col("parity").alias(f"p{x}")) for x in "ab")
         apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda u, v: u + v)
-        close, close_path = spill(pairs.join(left, "a").join(right, "b").withColumn("may", apart <= at_most).select("a", "b", "may"), "close")
+
+        def by(bits: str, pairs: DataFrame) -> DataFrame:
+            left, right = (elements.select(F.col("digest").alias(x), F.col(bits).alias(f"p{x}")) for x in "ab")
+            return pairs.join(left, "a").join(right, "b").withColumn("may", apart <= at_most).select("a", "b", "na", "nb", "may")
+
+        near, near_path = spill(by("parity", pairs), "close")
+        both_long = (F.col("na") > LONG) & (F.col("nb") > LONG)
+        close, close_path = spill(by("wide", near.filter("may").filter(both_long)).unionByName(near.filter(~F.col("may") | ~both_long)), "close")
+        discard(spark, near_path)
         left, right = (elements.select(F.col("digest").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
         both = close.filter("may").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ea", "eb")))
         ok = denominator * F.col("common") >= numerator * (F.size("ea") + F.size("eb") - F.col("common"))
@@ -410,8 +430,13 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     discard(spark, core_path)
 
     # elements that no other candidate has can't be shared: sets with too few others link to nothing and leave
-    inside = elements.select("digest", F.explode("elements").alias("element"))
-    alone = inside.groupBy("element").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).filter("sets = 1").groupBy("digest").agg(F.count("*").alias("own"))
+    alone = None
+    for t in range(TILES):
+        inside = elements.select("digest", F.explode(F.filter("elements", lambda e, t=t: F.pmod(e, F.lit(TILES)) == t)).alias("element"))
+        single = inside.groupBy("element").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).filter("sets = 1").groupBy("digest").agg(F.count("*").alias("own"))
+        single, _ = spill(single, "alone")
+        alone = single if alone is None else alone.unionByName(single)
+    alone = alone.groupBy("digest").agg(F.sum("own").alias("own"))
     shared = live.join(alone, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     able = shared.filter(denominator * F.col("shared") >= numerator * F.col("n"))
     several = able.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")

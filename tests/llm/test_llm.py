@@ -85,6 +85,7 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
     monkeypatch.setattr(jaccard, "LOOKED", 2)  # signatures of a group are common
     monkeypatch.setattr(jaccard, "NUMBERED", 2)
+    monkeypatch.setattr(jaccard, "LONG", 115)  # some sets are long, some are not
     r = random.Random(5)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
     rows = [(i, " ".join("e%d" % i if w in (7 * i % 120, 3 * i % 120) else x for w, x in enumerate(base))) for i in range(14)]
