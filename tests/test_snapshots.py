@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from oracle import SF, same
+from oracle import SF
 
 from millrace import snapshot_queries
 from millrace.session import Session
@@ -8,11 +8,6 @@ from millrace.sources.delta import bitmap_rows
 from millrace.sources.logwrite import LogTable, bitmap
 
 
-@pytest.mark.parametrize("name", sorted(snapshot_queries.queries()))
-def test_same_as_sql(spark, name):
-    same(spark, name, snapshot_queries.queries()[name], snapshot_queries.oracle_sql()[name])
-
-
 def test_bitmaps_round_trip():
     r = np.random.default_rng(1)
     for rows in ([], [0], [65535, 65536, 1 << 33], r.integers(0, 200_000, 20_000), np.arange(70_000)):
