@@ -10,6 +10,9 @@ each choice of two partitions of each group, so linked sets share some. Signatur
 have them in more than m groups: at most m agreeing groups of two linked sets go unseen, so they
 share more than CORE signatures and no link is lost.
 
+Of each set the CORE commonest signatures are then left out, as the prefix filter of set joins does: in one order of all
+signatures, sets that share more than CORE share one of the rest. So a passage of many documents makes none of them candidates by itself.
+
 Sets that share a signature are candidates, and links are decided on the whole sets. Equal sets are
 one class throughout. Components come first, and for them candidates already connected are not compared
 again: first each set is compared with the most frequent first set of its buckets; then, round by
@@ -50,8 +53,10 @@ CORE = 4
 PARITY = 24
 #: The same of sets of more than LONG elements, whose differences would fill the others.
 WIDE, LONG = 192, 1000
-#: Buckets that a set's rows list.
+#: Buckets that a set's rows list: all that it ever had if they are fewer, else the first of those that are left.
 LISTED = 32
+#: Sets up to which their names are broadcast, so that the elements of no others are shuffled.
+NAMED = 200_000
 _SUM = np.uint64(0x2545F4914F6CDD1D)
 #: Sets remembered by a task, so that equal sets in it give their signatures once.
 REMEMBERED = 200_000
@@ -393,7 +398,13 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     several = core.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
     core, core_path = spill(core.join(several, "sig", "left_semi"), "buckets")
     discard(spark, bucket_path)
-    candidates = core.groupBy("digest").count().filter(F.col("count") > CORE).select("digest")
+    # without the CORE commonest of each set, by one order of all signatures, linked sets still share one
+    common = core.groupBy("sig").agg(F.count("*").alias("sets"))
+    turn = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("sets"), "sig"))
+    rarer = core.join(common, "sig").withColumn("turn", turn).filter(F.col("turn") > CORE).select("sig", "digest")
+    several = rarer.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
+    rarer, rarer_path = spill(rarer.join(several, "sig", "left_semi"), "buckets")
+    candidates = rarer.select("digest").distinct()
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("key").alias("key"))
     chosen = classes.join(candidates, "digest").select("key", "digest")
     # ids may be null, or repeated with another text: rows are found by id and text, and their digest is computed anew and compared
@@ -417,7 +428,11 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
         both_long = (F.col("na") > LONG) & (F.col("nb") > LONG)
         close, close_path = spill(by("wide", near.filter("may").filter(both_long)).unionByName(near.filter(~F.col("may") | ~both_long)), "close")
         discard(spark, near_path)
-        left, right = (elements.select(F.col("digest").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
+        named = close.filter("may").select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        wanted = elements.select("digest", "elements")
+        if named.limit(NAMED + 1).count() <= NAMED:
+            wanted = wanted.join(F.broadcast(named), "digest", "left_semi")
+        left, right = (wanted.select(F.col("digest").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
         both = close.filter("may").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ea", "eb")))
         ok = denominator * F.col("common") >= numerator * (F.size("ea") + F.size("eb") - F.col("common"))
         both = both.select("a", "b", ok.alias("ok")).unionByName(close.filter("not may").select("a", "b", F.lit(False).alias("ok")))
@@ -426,8 +441,8 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
         return out
 
     sizes = classes.join(candidates, "digest").select("digest", "n")
-    live, live_path = spill(core.join(sizes, "digest"), "live")
-    discard(spark, core_path)
+    live, live_path = spill(rarer.join(sizes, "digest"), "live")
+    discard(spark, rarer_path)
 
     # elements that no other candidate has can't be shared: sets with too few others link to nothing and leave
     alone = None
@@ -443,8 +458,13 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     kept, kept_path = spill(able.join(several, "sig", "left_semi"), "live")
     discard(spark, live_path)
     live_path = kept_path
-    elements, _ = spill(elements.join(kept.select("digest").distinct(), "digest", "left_semi"), "elements")
-    discard(spark, elements_path)
+    stay = kept.select("digest").distinct()
+    if 2 * stay.count() < elements.count():  # else a second copy costs more than it saves
+        elements, _ = spill(elements.join(stay, "digest", "left_semi"), "elements")
+        discard(spark, elements_path)
+    every = core.join(kept.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("every"))
+    every, _ = spill(every.filter(F.size("every") < LISTED), "listed")
+    discard(spark, core_path)
     # buckets of the same sets count once
     content = kept.groupBy("sig").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
     live, kept_path = spill(kept.join(content.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "live")
@@ -473,12 +493,16 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
         if ranked.isEmpty():
             discard(spark, ranked_path)
             break
-        # a pair is taken up in the first of the buckets it still shares, if that is among the first LISTED of both, else in all
-        lists = ranked.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("sigs"))
+        # a pair whose sets list every bucket that they ever had shares more than CORE of them, or it can't link. One whose sets list
+        # a part is taken up in the first of the buckets it still shares, if that is among those of both, else in all
+        lists = ranked.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("left")).join(every, "digest", "left")
+        lists = lists.select("digest", F.coalesce("every", "left").alias("sigs"), F.col("every").isNotNull().alias("whole"))
         listed, listed_path = spill(ranked.join(lists, "digest"), "listed")
-        hubs = listed.filter(F.col("turn") <= hubs_each).select("sig", F.col("sigs").alias("hub_sigs"), F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
-        once = F.coalesce(F.array_min(F.array_intersect("sigs", "hub_sigs")) == F.col("sig"), F.lit(True))
-        pairs = listed.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits & once)
+        hubs = listed.filter(F.col("turn") <= hubs_each).select("sig", F.col("sigs").alias("hub_sigs"), F.col("whole").alias("hub_whole"), F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
+        both = F.array_intersect("sigs", "hub_sigs")
+        once = F.coalesce(F.array_min(both) == F.col("sig"), F.lit(True))
+        take = F.when(F.col("whole") & F.col("hub_whole"), F.size(both) > CORE).when(F.col("whole") | F.col("hub_whole"), True).otherwise(once)
+        pairs = listed.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits & take)
         pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), F.when(F.col("digest") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(F.col("digest") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
         compared, _ = linked(pairs.join(failed, ["a", "b"], "left_anti"))
         links = links.unionByName(compared.filter("ok").select("a", "b"))

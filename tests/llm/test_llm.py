@@ -124,6 +124,30 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     assert [x for x in kept if x[0]] == [(4, near(d, 1)), (5, near(c, 0))] and sum(x in ((None, near(a, 0)), (None, near(a, 1))) for x in kept) == 1
 
 
+def test_jaccard_with_a_passage_of_many(spark, monkeypatch):
+    """Sets that share a passage of half their words with many others still find the few that they link with."""
+    monkeypatch.setattr(jaccard, "LISTED", 24)  # some sets list all their buckets, some a part
+    r = random.Random(23)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(30):
+        own = [f"w{r.randrange(10**6)}" for _ in range(r.choice((15, 60, 90)))]
+        for c in range(1 + i % 3):  # itself and up to two near copies
+            words = own + passage
+            words[r.randrange(len(own))] = f"c{i}x{c}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(4)))) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    want = {i: min(j for j in range(len(rows)) if group[j] == group[i]) for i in range(len(rows))}
+    assert {x.doc_id: x.component_id for x in got} == want and 1 < len(set(want.values())) < len(rows)
+
+
 def test_signatures_are_shared():
     r = np.random.default_rng(3)
     for n in (6, 13, 40, 200, 900):
