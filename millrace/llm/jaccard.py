@@ -3,15 +3,14 @@
 Sets of shingles are put in bands of size in which the largest is at most 1/threshold times the
 smallest, so linked sets lie in the same or in adjacent bands. Within the sizes of such a pair of
 bands, linked sets differ in at most k elements. The feature domain is cut into groups of three
-partitions by hash: with floor(k / 2) + 1 + m + CORE groups, at least m + CORE + 1 groups hold at most one
+partitions by hash: with floor(k / 2) + 1 + p groups, at least p + 1 groups hold at most one
 difference, and in each of them two of the three partitions agree. Every set gives one signature for
-each choice of two partitions of each group, so linked sets share some. Signatures of at most
-`LIGHT` elements, which unrelated sets could share by a common phrase, are given only by sets that
-have them in more than m groups: at most m agreeing groups of two linked sets go unseen, so they
-share more than CORE signatures and no link is lost.
+each choice of two partitions of each group, so linked sets share more than p of those of their pair of bands.
 
-Of each set the CORE commonest signatures are then left out, as the prefix filter of set joins does: in one order of all
-signatures, sets that share more than CORE share one of the rest. So a passage of many documents makes none of them candidates by itself.
+Of each set the p commonest signatures of each pair of bands are then left out, as the prefix filter of set joins does: in one order
+of all signatures, sets that share more than p share one of the rest. p grows with k, as does the number of signatures of no or
+few elements, which unrelated sets share in numbers that grow with the square of the table: these are the commonest. A passage
+of many documents makes none of them candidates by itself either.
 
 Sets that share a signature are candidates, and links are decided on the whole sets. Equal sets are
 one class throughout. Components come first, and for them candidates already connected are not compared
@@ -46,8 +45,7 @@ from pyspark.sql.window import Window
 from millrace.llm._store import clean_shuffles, discard, spill
 from millrace.llm._words import Block, blocks, mix, run_hashes
 
-LIGHT = 2
-#: Groups beyond those needed to share one signature: linked sets share at least CORE + 1.
+#: Groups beyond those needed to share one signature, at least: linked sets share more than CORE, long ones still more.
 CORE = 4
 #: 64-bit words of a set's parity bits.
 PARITY = 24
@@ -127,7 +125,7 @@ def bands(numerator: int, denominator: int, largest: int) -> tuple[np.ndarray, n
 
 
 def signatures(grams: np.ndarray, offsets: np.ndarray, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets, and the set each is of."""
+    """Signatures of all sets, and the set each is of. The last byte tells the pair of bands from its neighbours, and p: linked sets share more than p of one last byte."""
     sizes = np.diff(offsets)
     last, most = bands(numerator, denominator, 1 << max(4, int(sizes.max(initial=1)).bit_length()))
     own = np.searchsorted(last, sizes)
@@ -136,8 +134,8 @@ def signatures(grams: np.ndarray, offsets: np.ndarray, numerator: int, denominat
     for key in (own, own - 1):  # as the smaller and as the larger of a pair
         k = np.where((key >= 0) & (sizes > 0), most[np.maximum(key, 0)], 0)
         # where no difference is allowed, linked sets are equal and need no signature
-        spare = np.where(k > 0, 1 + -(-(k // 2 + 1) // 10), 0)
-        groups = np.where(k > 0, k // 2 + 1 + spare + CORE, 0)
+        spare = CORE + 1 + -(-(k // 2 + 1) // 10)
+        groups = np.where(k > 0, k // 2 + 1 + spare, 0)
         base = np.concatenate([[0], np.cumsum(groups)])
         if not base[-1]:
             continue
@@ -147,22 +145,29 @@ def signatures(grams: np.ndarray, offsets: np.ndarray, numerator: int, denominat
         place = 3 * base[:-1][doc] + ((h >> np.uint64(17)) % (3 * groups[doc]).astype(np.uint64)).astype(np.int64)
         sums = np.zeros(3 * base[-1], dtype=np.uint64)
         np.add.at(sums, place, w)
-        counts = np.bincount(place, minlength=3 * base[-1]).reshape(-1, 3)
         sums = sums.reshape(-1, 3)
         two = sums.sum(1, dtype=np.uint64)[:, None] - sums
-        light = counts.sum(1)[:, None] - counts <= LIGHT
         owner = np.repeat(np.arange(len(sizes)), groups)
-        many = np.bincount(owner, weights=light.any(1), minlength=len(sizes)) > spare
-        use = ~light | many[owner][:, None]
         group = np.arange(base[-1]) - base[:-1][owner]
         salt = mix((key[owner].astype(np.uint64) << np.uint64(40)) + (group.astype(np.uint64) << np.uint64(2)))
-        out.append(mix(two + salt[:, None] + np.arange(3, dtype=np.uint64))[use])
-        of.append(np.broadcast_to(owner[:, None], use.shape)[use])
+        last_byte = (2 * np.minimum(spare, 127) + (key & 1)).astype(np.uint64)[owner]
+        out.append(((mix(two + salt[:, None] + np.arange(3, dtype=np.uint64)) & ~np.uint64(255)) | last_byte[:, None]).ravel())
+        of.append(np.repeat(owner, 3))
     if not out:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(out), np.concatenate(of)
 
 
+def _byte(sig: str | Column) -> Column:
+    """The last byte of a signature."""
+    return (F.col(sig) if isinstance(sig, str) else sig).bitwiseAND(F.lit(255))
+
+
+def _spare(byte: Column) -> Column:
+    """p of a last byte."""
+    return F.shiftright(byte, 1)
+
+
 def _key(doc_id: str | Column, text: str | Column) -> Column:
     """One number for an id, null or not, and a text."""
     return F.xxhash64(doc_id, text)
@@ -392,16 +397,17 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     near = given.select("sig", "digest", "common", F.lag("digest").over(order).alias("before"), F.lead("digest").over(order).alias("next"))
     buckets, bucket_path = spill(near.filter("before <> digest or next <> digest or (common and before is null)").select("sig", "digest"), "buckets")
     clean_shuffles(spark)
-    # linked sets share more than CORE signatures: sets that share fewer with all others together leave
-    enough = buckets.distinct().groupBy("digest").count().filter(F.col("count") > CORE).select("digest")
-    core = buckets.distinct().join(enough, "digest", "left_semi")
+    # linked sets share more than p signatures: sets that share fewer with all others together leave
+    core = buckets.distinct().withColumn("byte", _byte("sig"))
+    enough = core.groupBy("digest", "byte").count().filter(F.col("count") > _spare(F.col("byte"))).select("digest", "byte")
+    core = core.join(enough, ["digest", "byte"], "left_semi").select("sig", "digest")
     several = core.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
     core, core_path = spill(core.join(several, "sig", "left_semi"), "buckets")
     discard(spark, bucket_path)
-    # without the CORE commonest of each set, by one order of all signatures, linked sets still share one
+    # without the p commonest of each set, by one order of all signatures, linked sets still share one
     common = core.groupBy("sig").agg(F.count("*").alias("sets"))
-    turn = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("sets"), "sig"))
-    rarer = core.join(common, "sig").withColumn("turn", turn).filter(F.col("turn") > CORE).select("sig", "digest")
+    turn = F.row_number().over(Window.partitionBy("digest", "byte").orderBy(F.desc("sets"), "sig"))
+    rarer = core.join(common, "sig").withColumn("byte", _byte("sig")).withColumn("turn", turn).filter(F.col("turn") > _spare(F.col("byte"))).select("sig", "digest")
     several = rarer.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("sig")
     rarer, rarer_path = spill(rarer.join(several, "sig", "left_semi"), "buckets")
     candidates = rarer.select("digest").distinct()
@@ -447,7 +453,8 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     # elements that no other candidate has can't be shared: sets with too few others link to nothing and leave
     alone = None
     for t in range(TILES):
-        inside = elements.select("digest", F.explode(F.filter("elements", lambda e, t=t: F.pmod(e, F.lit(TILES)) == t)).alias("element"))
+        # a lambda's second parameter, a default one too, would be given the place in the array
+        inside = elements.select("digest", F.explode("elements").alias("element")).filter(F.pmod("element", F.lit(TILES)) == t)
         single = inside.groupBy("element").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).filter("sets = 1").groupBy("digest").agg(F.count("*").alias("own"))
         single, _ = spill(single, "alone")
         alone = single if alone is None else alone.unionByName(single)
@@ -462,12 +469,12 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
     if 2 * stay.count() < elements.count():  # else a second copy costs more than it saves
         elements, _ = spill(elements.join(stay, "digest", "left_semi"), "elements")
         discard(spark, elements_path)
-    every = core.join(kept.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("every"))
+    every = core.join(kept.select("digest").distinct(), "digest", "left_semi").groupBy("digest", _byte("sig").alias("byte")).agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("every"))
     every, _ = spill(every.filter(F.size("every") < LISTED), "listed")
     discard(spark, core_path)
-    # buckets of the same sets count once
+    # buckets of the same sets and last byte count once: a pair is judged by those of one last byte
     content = kept.groupBy("sig").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
-    live, kept_path = spill(kept.join(content.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "live")
+    live, kept_path = spill(kept.join(content.groupBy("sets", "x", "y", _byte("sig")).agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"), "live")
     discard(spark, live_path)
     live_path = kept_path
     fits = denominator * F.least("n", "hub_n") >= numerator * F.greatest("n", "hub_n")
@@ -493,15 +500,16 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
         if ranked.isEmpty():
             discard(spark, ranked_path)
             break
-        # a pair whose sets list every bucket that they ever had shares more than CORE of them, or it can't link. One whose sets list
-        # a part is taken up in the first of the buckets it still shares, if that is among those of both, else in all
-        lists = ranked.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("left")).join(every, "digest", "left")
-        lists = lists.select("digest", F.coalesce("every", "left").alias("sigs"), F.col("every").isNotNull().alias("whole"))
-        listed, listed_path = spill(ranked.join(lists, "digest"), "listed")
+        # a pair whose sets list every bucket of a last byte that they ever had shares more than p of them, or it can't link by them. One
+        # whose sets list a part is taken up in the first of these that it still shares, if that is among those of both, else in all
+        ranked_by = ranked.withColumn("byte", _byte("sig"))
+        lists = ranked_by.groupBy("digest", "byte").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("left")).join(every, ["digest", "byte"], "left")
+        lists = lists.select("digest", "byte", F.coalesce("every", "left").alias("sigs"), F.col("every").isNotNull().alias("whole"))
+        listed, listed_path = spill(ranked_by.join(lists, ["digest", "byte"]), "listed")
         hubs = listed.filter(F.col("turn") <= hubs_each).select("sig", F.col("sigs").alias("hub_sigs"), F.col("whole").alias("hub_whole"), F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
         both = F.array_intersect("sigs", "hub_sigs")
         once = F.coalesce(F.array_min(both) == F.col("sig"), F.lit(True))
-        take = F.when(F.col("whole") & F.col("hub_whole"), F.size(both) > CORE).when(F.col("whole") | F.col("hub_whole"), True).otherwise(once)
+        take = F.when(F.col("whole") & F.col("hub_whole"), F.size(both) > _spare(F.col("byte"))).when(F.col("whole") | F.col("hub_whole"), True).otherwise(once)
         pairs = listed.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits & take)
         pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), F.when(F.col("digest") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(F.col("digest") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
         compared, _ = linked(pairs.join(failed, ["a", "b"], "left_anti"))

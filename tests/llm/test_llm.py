@@ -148,6 +148,37 @@ def test_jaccard_with_a_passage_of_many(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in got} == want and 1 < len(set(want.values())) < len(rows)
 
 
+def test_jaccard_links_short_pairs_that_differ_anywhere(spark):
+    """Elements that a set has alone are counted once, wherever they stand in it."""
+    r = random.Random(31)
+    rows = []
+    for i in range(80):
+        words = [f"w{r.randrange(10**6)}" for _ in range(22)]
+        rows += [(2 * i, " ".join([*words, "x"])), (2 * i + 1, " ".join([*words, "y"]))]  # 19 of 21 shingles in common
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(160)}
+
+
+def test_jaccard_compares_few_of_many_unlinked_sets(spark, monkeypatch):
+    """Sets made of the same passages, none linked with another, share signatures of few elements but aren't compared for them."""
+    compared, write = [], jaccard.spill
+
+    def counted(df, name, *args, **kwargs):
+        out = write(df, name, *args, **kwargs)
+        if name == "close":
+            compared.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(jaccard, "spill", counted)
+    r = random.Random(37)
+    passages = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(120)]
+    rows = [(i, " ".join(r.sample(passages, 10))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(5)]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i % 300 for i in range(305)}
+    assert max(compared) < 305
+
+
 def test_signatures_are_shared():
     r = np.random.default_rng(3)
     for n in (6, 13, 40, 200, 900):
