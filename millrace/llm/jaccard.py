@@ -17,7 +17,9 @@ one class throughout. Components come first, and for them candidates already con
 again: first each set is compared with the most frequent first set of its buckets; then, round by
 round, in each bucket that still holds several components, a few sets of each component (four times
 as many every round) are compared with the rest and leave the bucket, until none is left. Work
-beyond the first round is spent on unconnected candidates only, and no bucket is capped.
+beyond the first round is spent on unconnected candidates only, and no bucket is capped. A bucket's
+sets are compared by parity bits where they meet, in blocks if they are many: the comparisons grow with the
+square of a group that holds many components, the rows only with the pairs that bits don't prove apart.
 
 `join_links` then decides every pair of sets of a component, once: links never leave a component, so
 this is every candidate pair that can link. The sets of a large component are dealt into chunks, and
@@ -62,6 +64,8 @@ REMEMBERED = 200_000
 CHUNK, CHUNK_ELEMENTS = 256, 500_000
 #: Elements by which two chunks are compared at once.
 COLUMNS = 4096
+#: Rows, and hubs, of a bucket that are compared in one task on average at most; pairs of them looked at at once.
+BLOCK, CELLS = 4096, 1 << 18
 #: One row in so many is looked at for the commonest signatures, which more than one in `COMMON` of these sets give.
 LOOKED, COMMON = 64, 200
 #: Parts in which elements are counted, one after another, so that each shuffles its share only.
@@ -281,6 +285,93 @@ def intersections(elements: np.ndarray, offsets: np.ndarray, split: int) -> np.n
     return out
 
 
+def _may_link(ranked: DataFrame, lists: DataFrame, hubs: int, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b, n of both) of different roots that share a bucket in which one has a turn up to `hubs`, and that sizes, bits and lists don't prove unlinked.
+
+    `ranked` has the rows of the buckets (sig, byte, digest, n, shared, root, turn), `lists` has sigs, whole and parity by digest and byte. A bucket is
+    one block; the rows and the hubs of one of more than `BLOCK` rows are dealt into parts, and each part of the hubs meets each part of the rows in a block.
+    """
+    hub, columns = F.col("turn") <= hubs, ["digest", "n", "shared", "root", "sigs", "whole", "parity"]
+    listed = ranked.join(lists, ["digest", "byte"])
+    large = ranked.groupBy("sig").agg(F.count("*").alias("rows"), F.count_if(hub).alias("hubs")).filter(F.col("rows") > BLOCK)
+    large, large_path = spill(large.select("sig", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("rows", "hubs")]), "large")
+    if large.isEmpty():
+        discard(ranked.sparkSession, large_path)
+        dealt = listed.select("sig", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("member"), hub.alias("hub"), *columns)
+    else:
+        small = listed.join(F.broadcast(large), "sig", "left_anti").select("sig", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("member"), hub.alias("hub"), *columns)
+        parted = listed.join(F.broadcast(large), "sig")
+        as_member = parted.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("hubs") - 1)))
+        as_member = as_member.select("sig", "x", F.pmod(F.xxhash64("digest"), F.col("rows")).cast("int").alias("y"), F.lit(True).alias("member"), F.lit(False).alias("hub"), *columns)
+        as_hub = parted.filter(hub).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+        as_hub = as_hub.select("sig", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("hubs")).cast("int").alias("x"), "y", F.lit(False).alias("member"), F.lit(True).alias("hub"), *columns)
+        dealt = small.unionByName(as_member).unionByName(as_hub)
+    block = ["sig", "x", "y"]
+    dealt = dealt.repartition(*block).sortWithinPartitions(*block)
+
+    def compared(sig: int, parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        digest, n, shared, root = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("digest", "n", "shared", "root"))
+        member, hub, whole = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("member", "hub", "whole"))
+        # bits of signed numbers would be counted in their absolute values
+        parity = np.concatenate([p.column("parity").flatten().to_numpy() for p in parts]).view(np.uint64).reshape(len(digest), -1)
+        lengths = np.concatenate([p.column("sigs").value_lengths().to_numpy() for p in parts]).astype(np.int64)
+        filled = np.arange(lengths.max()) < lengths[:, None]
+        sigs = np.zeros(filled.shape, dtype=np.int64)
+        sigs[filled] = np.concatenate([p.column("sigs").flatten().to_numpy() for p in parts])
+        rows, hubs_in = np.flatnonzero(member), np.flatnonzero(hub)
+        some = max(1, CELLS // max(1, len(rows)))
+        for at in range(0, len(hubs_in) if len(rows) else 0, some):
+            h = hubs_in[at : at + some, None]
+            fits = (root[h] != root[rows]) & (denominator * np.minimum(n[h], n[rows]) >= numerator * np.maximum(n[h], n[rows]))
+            fits &= (denominator + numerator) * np.minimum(shared[h], shared[rows]) >= numerator * (n[h] + n[rows])
+            x, y = np.nonzero(fits)
+            a, b = h[x, 0], rows[y]
+            for cut in range(0, len(a), CELLS // 8):
+                i, j = a[cut : cut + CELLS // 8], b[cut : cut + CELLS // 8]
+                apart = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
+                may = apart <= (denominator - numerator) * (n[i] + n[j]) // (denominator + numerator)
+                i, j = i[may], j[may]
+                for to in range(0, len(i), CELLS // 128):
+                    yield taken(sig, i[to : to + CELLS // 128], j[to : to + CELLS // 128], digest, n, whole, sigs, filled)
+
+    def taken(sig: int, i: np.ndarray, j: np.ndarray, digest: np.ndarray, n: np.ndarray, whole: np.ndarray, sigs: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, ...]:
+        # a pair whose sets list every bucket of a last byte that they ever had shares more than p of them, or it can't link by them. One
+        # whose sets list a part is taken up in the first of these that it still shares, if that is among those of both, else in all
+        both = ((sigs[i][:, :, None] == sigs[j][:, None, :]) & filled[j][:, None, :]).any(2) & filled[i]
+        first = np.where(both, sigs[i], np.iinfo(np.int64).max).min(1)
+        take = np.where(whole[i] & whole[j], both.sum(1) > (sig & 255) >> 1, whole[i] | whole[j] | ~both.any(1) | (first == sig))
+        i, j = i[take], j[take]
+        less = digest[i] < digest[j]
+        a, b = np.where(less, i, j), np.where(less, j, i)
+        return digest[a], digest[b], n[a], n[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def written() -> Iterator[pa.RecordBatch]:
+            for found in compared(key[0], held):
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "na", "nb"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in block])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                new = tuple(keys[:, start].tolist())
+                if held and new != key:
+                    yield from written()
+                    held = []
+                key = new
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield from written()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+
+
 def _decided(members: DataFrame, elements: DataFrame, numerator: int, denominator: int, pairs: bool) -> DataFrame:
     """All links between the sets of each component, as pairs (a, b) or as digest, links (to be added up; weighted by copies).
 
@@ -500,24 +591,17 @@ def _connected(docs: DataFrame, n: int, numerator: int, denominator: int) -> tup
         if ranked.isEmpty():
             discard(spark, ranked_path)
             break
-        # a pair whose sets list every bucket of a last byte that they ever had shares more than p of them, or it can't link by them. One
-        # whose sets list a part is taken up in the first of these that it still shares, if that is among those of both, else in all
+        # sets are compared by bits within their buckets, so that only pairs that may link become rows
         ranked_by = ranked.withColumn("byte", _byte("sig"))
         lists = ranked_by.groupBy("digest", "byte").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("left")).join(every, ["digest", "byte"], "left")
-        lists = lists.select("digest", "byte", F.coalesce("every", "left").alias("sigs"), F.col("every").isNotNull().alias("whole"))
-        listed, listed_path = spill(ranked_by.join(lists, ["digest", "byte"]), "listed")
-        hubs = listed.filter(F.col("turn") <= hubs_each).select("sig", F.col("sigs").alias("hub_sigs"), F.col("whole").alias("hub_whole"), F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"), F.col("root").alias("hub_root"))
-        both = F.array_intersect("sigs", "hub_sigs")
-        once = F.coalesce(F.array_min(both) == F.col("sig"), F.lit(True))
-        take = F.when(F.col("whole") & F.col("hub_whole"), F.size(both) > _spare(F.col("byte"))).when(F.col("whole") | F.col("hub_whole"), True).otherwise(once)
-        pairs = listed.join(hubs, "sig").filter((F.col("root") != F.col("hub_root")) & fits & take)
-        pairs = pairs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), F.when(F.col("digest") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(F.col("digest") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
+        lists = lists.select("digest", "byte", F.coalesce("every", "left").alias("sigs"), F.col("every").isNotNull().alias("whole")).join(elements.select("digest", "parity"), "digest")
+        pairs, pairs_path = spill(_may_link(ranked_by, lists, hubs_each, numerator, denominator).distinct(), "pairs")
         compared, _ = linked(pairs.join(failed, ["a", "b"], "left_anti"))
         links = links.unionByName(compared.filter("ok").select("a", "b"))
         failed = failed.unionByName(compared.filter("not ok").select("a", "b"))
         if not compared.filter("ok").isEmpty():
             roots = components(links)
-        discard(spark, listed_path)
+        discard(spark, pairs_path)
         live, live_path = ranked.filter(F.col("turn") > hubs_each).select("sig", "digest", "n", "shared"), ranked_path
         hubs_each *= 4
 

@@ -179,6 +179,40 @@ def test_jaccard_compares_few_of_many_unlinked_sets(spark, monkeypatch):
     assert max(compared) < 305
 
 
+def test_jaccard_makes_few_rows_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Most of a group that shares buckets but doesn't link is told apart within them, in one part or dealt into several."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16, raising=False)
+    made, write = [], jaccard.spill
+
+    def counted(df, name, *args, **kwargs):
+        out = write(df, name, *args, **kwargs)
+        if name == "close":
+            made.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(jaccard, "spill", counted)
+    r = random.Random(41)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):  # those of one edit link, those of three mostly with nothing, though no edit is of one text alone
+        words = list(base)
+        for at in r.sample(range(0, 150, 5), r.choice((1, 3, 3, 3))):
+            words[at] = f"e{r.randrange(10)}x{at}"
+        rows.append((i, " ".join(words)))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(4)))) for _, t in rows]
+    group, links = list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                links += 1
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {i: min(j for j in range(len(rows)) if group[j] == group[i]) for i in range(len(rows))}
+    assert {x.doc_id: x.component_id for x in jaccard.join_components(docs).collect()} == want
+    assert max(made) < 2 * len(rows) < links and 1 < len(set(want.values())) < len(rows)
+
+
 def test_signatures_are_shared():
     r = np.random.default_rng(3)
     for n in (6, 13, 40, 200, 900):
