@@ -6,6 +6,7 @@ through Spark's JDBC writer, in parallel, or to any consumer.
 
 from __future__ import annotations
 
+import gc
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import MillraceError
+from millrace.operators import shared
 from millrace.plans.output import OutputPlan, create_table, quoted, shaped
 
 
@@ -112,6 +114,74 @@ class JdbcTarget:
             df = df.coalesce(self.parallel)
         df.write.format("jdbc").options(url=self.url, dbtable=self.name(schema, table), batchsize="10000", **self.properties).mode("append").save()
 
+    def read(self, schema: str, table: str) -> DataFrame:
+        return self.spark.read.format("jdbc").options(url=self.url, dbtable=self.name(schema, table), **self.properties).load()
+
+
+class DriverTarget(JdbcTarget):
+    """A database that only the driver's process reaches, such as an embedded one.
+
+    Executors write and read its rows in the folder that they share with the driver, which moves them some at a time: its memory
+    doesn't bound a load. Spark's own JDBC conversions are used, in the driver.
+    """
+
+    #: Values that the driver holds at once.
+    VALUES = 400_000
+
+    def _portion(self, df: DataFrame) -> int:
+        return max(1, self.VALUES // len(df.columns))
+
+    def append(self, df: DataFrame, schema: str, table: str) -> None:
+        path = shared.new_folder(self.spark)
+        try:
+            shared.put(df, path, self._portion(df))  # a row that breaks a policy fails the load here, before any is stored
+            jvm = self.spark._jvm
+            jdbc, sql = jvm.org.apache.spark.sql.execution.datasources.jdbc, jvm.org.apache.spark.sql.jdbc
+            options = jdbc.JdbcOptionsInWrite(self.url, self.name(schema, table), jvm.org.apache.spark.api.python.PythonUtils.toScalaMap({**self.properties, "batchsize": "10000"}))
+            dialect, fields = sql.JdbcDialects.get(self.url), df._jdf.schema()
+            c = self._open()
+            try:
+                stored = jdbc.JdbcUtils.getSchemaOption(c, options)
+            finally:
+                c.close()
+            insert = jdbc.JdbcUtils.getInsertStatement(options.table(), fields, stored, self.spark.conf.get("spark.sql.caseSensitive") == "true", dialect)
+            for file in shared.files(shared.get(df, path)):
+                rows = jvm.scala.jdk.javaapi.CollectionConverters.asScala(shared.get(df, file)._jdf.collectAsList())
+                with self._as_task():
+                    jdbc.JdbcUtils.savePartition(options.table(), rows.iterator(), fields, insert, options.batchSize(), dialect, options.isolationLevel(), options)
+                del rows
+                gc.collect()  # the gateway's objects are in cycles; until they go, the JVM keeps the rows
+        finally:
+            shared.discard(path)
+
+    @contextmanager
+    def _as_task(self) -> Iterator[None]:
+        """Spark's JDBC writer notes its counts in the running task's context; in the driver, in an empty one."""
+        task = getattr(getattr(self.spark._jvm.org.apache.spark, "TaskContext$"), "MODULE$")
+        task.setTaskContext(task.empty())
+        try:
+            yield
+        finally:
+            task.unset()
+
+    def read(self, schema: str, table: str) -> DataFrame:
+        """The rows as they are now; they stay in the shared folder until the process ends."""
+        like, jvm, path = super().read(schema, table), self.spark._jvm, shared.new_folder(self.spark)
+        fields, dialect = like._jdf.schema(), jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.url)
+        shared.put(self.spark.createDataFrame([], like.schema), path)
+        c = self._open()
+        try:
+            found = c.createStatement().executeQuery(f"SELECT * FROM {self.name(schema, table)}")
+            portions = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(found, fields, dialect).grouped(self._portion(like))
+            while portions.hasNext():
+                rows = jvm.scala.jdk.javaapi.CollectionConverters.asJava(portions.next())
+                shared.put(DataFrame(self.spark._jsparkSession.createDataFrame(rows, fields), self.spark).coalesce(1), path)
+                del rows
+                gc.collect()
+        finally:
+            c.close()
+        return shared.get(like, path)
+
 
 def swap_sql(schema: str, staging: str, final: str) -> str:
     """The replacement of a table as one batch: under an exclusive lock that is not waited for, with all states asked for inside

@@ -1,34 +1,57 @@
 """Registered queries that run loads, plans and reports of a session and return what came of them as rows.
 
-Loads go into an embedded database in the driver's memory, so they need a local master.
+Loads go into an embedded database of the driver's process: in its memory on a local master, on its disk on a cluster, where rows
+pass through the folder in spark.checkpoint.dir.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.errors import MillraceError
 from millrace.functions.names import fnv1a64
-from millrace.operators.load import JdbcTarget, swap_sql
+from millrace.operators.load import DriverTarget, JdbcTarget, swap_sql
 from millrace.operators.preview import preview
+from millrace.operators.shared import is_local
 from millrace.session import Session
 
 _DRIVER = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
+class _OnDisk(DriverTarget):
+    """An embedded database in a temporary folder of the driver."""
+
+    def __init__(self, spark: SparkSession):
+        self.folder = os.path.realpath(tempfile.mkdtemp(prefix="millrace-"))
+        atexit.register(shutil.rmtree, self.folder, ignore_errors=True)
+        super().__init__(spark, f"jdbc:derby:{self.folder}/db;create=true", "derby", _DRIVER)
+
+    def close(self) -> None:
+        with suppress(Py4JJavaError):  # a shutdown ends with an error, also when it is done
+            self.spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{self.folder}/db;shutdown=true")
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
 def _database(spark: SparkSession) -> JdbcTarget:
-    if not spark.sparkContext.master.startswith("local["):
-        raise MillraceError("configure", "local_database", "the embedded database is in the driver's memory")
-    target = JdbcTarget(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "derby", _DRIVER)
+    target = JdbcTarget(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "derby", _DRIVER) if is_local(spark) else _OnDisk(spark)
     target.execute('CREATE SCHEMA "app_"')
     return target
 
 
 def _stored(target: JdbcTarget, table: str) -> DataFrame:
-    return target.spark.read.format("jdbc").options(url=target.url, dbtable=f'"app_"."{table}"', **target.properties).load()
+    found = target.read("app_", table)
+    if isinstance(target, _OnDisk):  # the rows are in the shared folder now
+        target.close()
+    return found
 
 
 def _session(spark: SparkSession, sf_dir: str, *tables: str, **options: object) -> Session:
@@ -52,8 +75,8 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = _database(spark)
     s = _session(spark, sf_dir, "customer")
     first, second = (s.table_from_sql(f"SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = {k}") for k in (0, 1))
-    s.write(first.to_target("app_", "people", "create_and_load", target=target))
-    s.write(second.to_target("app_", "people", target=target))
+    assert s.write(first.to_target("app_", "people", "create_and_load", target=target))["validated"]
+    assert s.write(second.to_target("app_", "people", target=target))["validated"]
     return _stored(target, "people")
 
 
@@ -62,7 +85,7 @@ def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = _database(spark)
     s = _session(spark, sf_dir, "orders")
     for low in (300000, 100000):
-        s.write(s.table_from_sql(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > {low}").to_target("app_", "big", "replace", target=target))
+        assert s.write(s.table_from_sql(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > {low}").to_target("app_", "big", "replace", target=target))["validated"]
     return _stored(target, "big")
 
 
