@@ -126,7 +126,7 @@ class DriverTarget(JdbcTarget):
     """
 
     #: Values that the driver holds at once.
-    VALUES = 400_000
+    VALUES = 100_000
 
     def _portion(self, df: DataFrame) -> int:
         return max(1, self.VALUES // len(df.columns))

@@ -9,7 +9,7 @@ from millrace.operators.load import DriverTarget
 from millrace.session import Session
 from millrace.session_queries import oracle_sql
 
-LOADS = ["c1_append", "c2_create"]
+LOADS = ["c1_append", "c2_create", "c3_replace"]
 
 
 @pytest.fixture(scope="module")
